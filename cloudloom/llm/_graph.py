@@ -1,20 +1,28 @@
-"""Connected components of a graph whose nodes have few edges each."""
+"""Tables in the shared folder, and connected components."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """The rows, computed once and written to the shared checkpoint folder, so that a lost executor loses nothing.
+    """The rows, computed once and written as a Parquet table to the folder that the cluster names in spark.checkpoint.dir.
 
-    The session's spark.checkpoint.dir is used; only where it is unset, as in tests, a local folder.
+    What reads it starts from there, so a lost executor costs no more than the tasks it ran.  Only where the setting
+    is unset, as in tests, a local folder is used.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder.rstrip('/')}/cloudloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -29,10 +37,8 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
         better = labels.join(heard, labels["node"] == heard["a"]).select("node", F.col("label").alias("old"), F.least("label", "heard").alias("via"))
         up = labels.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
-        new = better.join(up, F.col("via") == F.col("up")).select("node", "old", F.least("via", "up_label").alias("label"))
-        new = shared(new)
-        changed = new.where(F.col("label") != F.col("old")).limit(1).count()
+        new = shared(better.join(up, F.col("via") == F.col("up")).select("node", "old", F.least("via", "up_label").alias("label")))
+        if new.where(F.col("label") != F.col("old")).isEmpty():
+            return new.select("node", F.col("label").alias("component"))
         labels = new.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
     raise RuntimeError("the components did not settle")

@@ -134,8 +134,8 @@ def _decided(n: int, starts, sizes, items) -> tuple:
     return n, n_hit, n_items, digest, sorted(items), n_hit > 0 and 20 * n_hit >= n
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Each row of ``docs`` (text) as the struct ``row``, with what it shares with ``benchmark`` (item_id, text).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Each row of ``docs`` (text) as the struct ``row`` of its columns ``keep`` (all by default), with what it shares with ``benchmark`` (item_id, text).
 
     Added: n_words, n_hit (words inside an occurrence of a benchmark window), n_items, items_sha256 (of the sorted, comma-joined ids),
     items (the sorted ids), contaminated (a twentieth of the words or more are hit).
@@ -145,7 +145,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     Null and empty texts have no words, so nothing of them is hit.  An item with a null id hits words but is not listed.  Items that
     repeat count once.  Rows that repeat are rows of their own.  An empty benchmark hits nothing; an empty table gives an empty table.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"))
+    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").alias("t"))
     final = T.StructType([rows.schema["row"], *T._parse_datatype_string("n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean").fields])
     blocks = _blocks(benchmark, block_bytes)
     first, second = next(blocks), next(blocks, None)

@@ -129,13 +129,13 @@ class Classifier:
         return self.langs[best], float(min(1.0, max(0.0, 1 - out[best] / (self.missing * len(top)))))
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
-    """Each row of ``docs`` as the struct ``row``, lang_pred and score (0 to 1).  docs needs text.
+def identify(docs: DataFrame, profiles: dict[str, list[int]], *, keep: list[str] | None = None) -> DataFrame:
+    """Each row of ``docs`` as the struct ``row`` of its columns ``keep`` (all by default), lang_pred and score (0 to 1).  docs needs text.
 
     A null text, or one without a letter, gets ``und`` and score 0, as does every text if there are no profiles.
     Languages that are equally near: the first by code point.  Whole texts are read.  An empty table gives an empty table.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"))
+    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").alias("t"))
     model = docs.sparkSession.sparkContext.broadcast(Classifier(profiles))
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

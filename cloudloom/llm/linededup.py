@@ -49,12 +49,12 @@ def dedup_lines(docs: DataFrame, *, host: str = "source", ratio: float = RATIO,
     A null text stays null with 0 lines; an empty text is one empty line.  Rows with a null host form one host.
     Repeated rows count as pages of their own.  An empty table gives an empty table.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col(host).cast("string").alias("host"), F.col("text"))
-    found = boilerplate(rows.select("host", "text"), ratio=ratio, least_pages=least_pages)
+    rows = docs.select(F.struct("*").alias("row"), F.col(host).cast("string").alias("host"))
+    found = boilerplate(rows.select("host", F.col("row.text").alias("text")), ratio=ratio, least_pages=least_pages)
     found = found.select(F.col("host").alias("host_"), "keys", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt_"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.length("text")), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row.doc_id", F.length("row.text")), F.lit(salts)).cast("int"))
     both = rows.join(found, F.col("host").eqNullSafe(F.col("host_")) & (F.col("salt") == F.col("salt_")), "left")
-    lines = lines_of(F.col("text"))
+    lines = lines_of(F.col("row.text"))
     kept = F.when(F.col("keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("keys"), line_key(x)), F.lit(False))))
     return both.withColumn("kept", kept).select(
         "row",

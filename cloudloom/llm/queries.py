@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import avi, decontam, langid, linededup, mixing, pii, ppm, simhash
+from cloudloom.llm import avi, decontam, langid, licenses, linededup, mixing, pii, ppm, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +27,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     profiles = langid.learn_profiles(docs.where(_fold(4) != 2))
-    found = langid.identify(docs.select("doc_id", "text"), profiles)
+    found = langid.identify(docs, profiles, keep=["doc_id"])
     return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", F.coalesce(_fold(4) == 2, F.lit(False)))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.find_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    found = decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -41,8 +41,26 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _path() -> Column:
+    """A path for each document: its source, and the digits of doc_id as directories; each tenth one is the directory's licence file."""
+    file = F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE")).otherwise(F.lit("file.txt"))
+    part = lambda k: (F.col("doc_id") / k).cast("long").cast("string")
+    return F.concat_ws("/", "source", part(1000), part(100), F.concat_ws("-", file, F.col("doc_id").cast("string")))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _table(spark, sf_dir, "documents").select("doc_id", "text", _path().alias("path"))
+    found = licenses.scan_licenses(files, keep=["doc_id", "path"])
+    return found.select("row.*", "license", "how", "from_dir", "detected", F.round("cosine", 6).alias("cosine"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("row.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -67,7 +85,7 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_decontaminate, op4_line_dedup, op7_simhash, op8_pii, op9_avi_media, op10_ppm_score)
+    f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_decontaminate, op4_line_dedup, op5_license_scan, op6_substring_dedup, op7_simhash, op8_pii, op9_avi_media, op10_ppm_score)
 }
 
 ORACLE_SQL: dict[str, str] = {}

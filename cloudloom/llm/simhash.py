@@ -49,9 +49,9 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """Each row of ``docs`` (text) as the struct ``row``, and fp, its fingerprint as a long."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"))
+def with_fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Each row of ``docs`` (text) as the struct ``row`` of its columns ``keep`` (all by default), and fp, its fingerprint as a long."""
+    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").alias("t"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,22 +125,24 @@ def near_links(fps: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET) ->
     return groups.select("fps").mapInPandas(_bucket_links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Each row of ``docs`` (doc_id, text) as the struct ``row``, with fp and component_id.
+def near_duplicates(docs: DataFrame, *, keep: list[str] | None = None, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text) as the struct ``row`` of its columns ``keep``, with fp, component_id and leader.
 
+    keep must name doc_id; by default it is all columns.
     component_id is the smallest doc_id of the rows reachable over links of fingerprints that differ in ``radius`` bits or fewer,
-    the row's own included.  A fingerprint is of the 3-word shingles of the text with A-Z lower-cased, repeats included; of the
+    the row's own included; one row of each component is its leader, with that doc_id.  A fingerprint is of the 3-word shingles of the text with A-Z lower-cased, repeats included; of the
     whole text if it has fewer words.
 
     A text without words, null too, has fingerprint 0 and is linked like any other.  Null ids count last: a component of
     null ids alone is null.  Rows that repeat are linked with each other.  An empty table gives an empty table.
     """
-    rows = shared(with_fingerprints(docs))
+    rows = shared(with_fingerprints(docs, keep).withColumn("rid", F.monotonically_increasing_id()))
     # One row per different fingerprint, with partial minima before the shuffle: groups of copies shrink where they are read.
-    distinct = shared(rows.groupBy("fp").agg(F.min("row.doc_id").alias("first")))
+    place = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), "rid")
+    distinct = shared(rows.groupBy("fp").agg(F.min(place).alias("first")))
     found = components(near_links(distinct.select("fp"), radius=radius, bucket=bucket))
     grouped = found.join(distinct, found["node"] == distinct["fp"]).select("fp", "component", "first")
-    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = grouped.join(least, "component").select(F.col("fp").alias("linked_fp"), F.col("component_id").alias("linked_id"))
-    ids = distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("fp_"), F.coalesce("linked_id", "first").alias("component_id"))
-    return rows.join(shared(ids), F.col("fp") == F.col("fp_")).select("row", "fp", "component_id")
+    least = grouped.groupBy("component").agg(F.min("first").alias("least"))
+    linked = grouped.join(least, "component").select(F.col("fp").alias("linked_fp"), "least")
+    ids = distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("fp_"), F.coalesce("least", "first").alias("least"))
+    return rows.join(shared(ids), F.col("fp") == F.col("fp_")).select("row", "fp", F.col("least.doc_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("leader"))
