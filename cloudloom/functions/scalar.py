@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Number = Column | float | int
@@ -368,15 +368,32 @@ def support_confidence(normal: Vec, neighbours: Column) -> Column:
 
 
 def flow_direction(normal: Vec) -> Vec:
-    """Gravity (0, 0, -1) along the surface; gravity itself where the surface is level."""
-    n = normalise(normal, fallback=(0.0, 0.0, 1.0))
+    """Gravity (0, 0, -1) along the surface of a unit normal; gravity itself where the surface is level."""
+    n = normal
     along = (n[2] * n[0], n[2] * n[1], n[2] * n[2] - 1.0)
     return normalise(along, 1e-10, (0.0, 0.0, -1.0))
 
 
 def lateral(normal: Vec, tangent: Vec) -> Vec:
-    """Across the tangent and along the surface; x where that is undefined."""
-    return normalise(cross(normalise(normal, fallback=(0.0, 0.0, 1.0)), tangent), 1e-12, (1.0, 0.0, 0.0))
+    """Across the tangent and along the surface of a unit normal; x where that is undefined."""
+    return normalise(cross(normal, tangent), 1e-12, (1.0, 0.0, 0.0))
+
+
+def staged(df: DataFrame, **vectors: Vec) -> DataFrame:
+    """df with vectors as columns name_x, name_y, name_z.
+
+    What later steps use more than once is worked out once: without the step, each use would repeat the whole expression.
+    """
+    return df.withColumns({f"{name}_{a}": c for name, v in vectors.items() for a, c in zip("xyz", v)})
+
+
+def at(name: str) -> Vec:
+    """The columns of a staged vector."""
+    return vec(f"{name}_x", f"{name}_y", f"{name}_z")
+
+
+def unstaged(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*[f"{n}_{a}" for n in names for a in "xyz"])
 
 
 def downhill_score(drop: Column, distance: Column, align: Column, confidence: Column, coherence: Column, bridge: Column, uphill: Column, flatness: Column, branching: Number) -> Column:

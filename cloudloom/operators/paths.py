@@ -319,13 +319,18 @@ def field_from_regions(points: DataFrame, vertices, controls: DataFrame, *, dire
     """
     chosen = regions.select_region(points, vertices, blend=blend, direction=direction).drop("flow_blocked", "bridge_allowed", "bridge_blocked")
     nodes = regions.control_flags(chosen, controls)
-    down = S.flow_direction(S.vec("nx", "ny", "nz")) if "nx" in points.columns else (F.lit(0.0), F.lit(0.0), F.lit(-1.0))
-    mixed = S.normalise(tuple(S.lerp(d, F.col(f"f{c}"), guide) for c, d in zip("xyz", down)), 1e-12, (1.0, 0.0, 0.0))
+    if "nx" in points.columns:
+        nodes = S.staged(nodes, _n=S.normalise(S.vec("nx", "ny", "nz"), fallback=(0.0, 0.0, 1.0)))
+        nodes = S.staged(nodes, _d=S.flow_direction(S.at("_n")))
+    else:
+        nodes = S.staged(nodes, _d=(F.lit(0.0), F.lit(0.0), F.lit(-1.0)))
+    nodes = S.staged(nodes, _m=tuple(S.lerp(d, F.col(f"f{c}"), guide) for c, d in zip("xyz", S.at("_d"))))
+    mixed = S.normalise(S.at("_m"), 1e-12, (1.0, 0.0, 0.0))
     keep = F.when(F.col("flow_blocked"), 0.0).otherwise(1.0)
     n = math.sqrt(sum(c * c for c in direction)) or 1.0
     station = S.dot(S.vec("x", "y", "z"), [c / n for c in direction])
     out = nodes.withColumns(dict(zip(("dx", "dy", "dz"), mixed)) | {"wetness": F.col("wetness") * keep, "confidence": F.col("field_confidence") * keep, "station": station, "path_id": F.lit(0)})
-    return timeseries.node_order(out)
+    return timeseries.node_order(S.unstaged(out, "_n", "_d", "_m"))
 
 
 def field_streamlines(nodes: DataFrame, **gaps) -> DataFrame:

@@ -110,15 +110,18 @@ def select_region(points: DataFrame, vertices: Sequence[Vertex], *, layer_id: in
     if view_projection is not None:
         kept = kept.where(S.in_clip(S.clip((x, y, z), view_projection)))
     kept = kept.where(inside(x, y, boundary)).withColumn("edge_distance", edge_distance((x, y, z), boundary))
-    normal = S.normalise(S.vec("nx", "ny", "nz"), fallback=(0.0, 0.0, 1.0)) if "nx" in points.columns else (F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    up = (0.0, 0.0, 1.0)
+    kept = S.staged(kept, _n=S.normalise(S.vec("nx", "ny", "nz"), fallback=up) if "nx" in points.columns else tuple(F.lit(c) for c in up))
     n = math.sqrt(sum(d * d for d in direction))
     d = [c / n for c in direction] if n * n > 1e-12 else [1.0, 0.0, 0.0]
-    along = S.dot(normal, d)
-    flat = tuple(F.lit(c) - m * along for c, m in zip(d, normal))
-    unit, side = S.normalise(flat), S.lateral(normal, (F.lit(0.0), F.lit(0.0), F.lit(1.0)))
-    field = [F.when(S.dot(flat, flat) <= 1e-12, s).otherwise(u) for s, u in zip(side, unit)]
+    kept = kept.withColumn("_along", S.dot(S.at("_n"), d))
+    kept = S.staged(kept, _f=tuple(F.lit(c) - m * F.col("_along") for c, m in zip(d, S.at("_n"))))
+    flat = S.at("_f")
+    kept = S.staged(kept, _u=S.normalise(flat), _s=S.lateral(S.at("_n"), tuple(F.lit(c) for c in up)))
+    field = [F.when(S.dot(flat, flat) <= 1e-12, s).otherwise(u) for s, u in zip(S.at("_s"), S.at("_u"))]
     weight = S.smoothstep(0.0, max(1e-5, blend), F.col("edge_distance"))
-    return kept.withColumns({"layer_id": F.lit(layer_id), "edge_weight": weight, **dict(zip(("fx", "fy", "fz"), field))}).withColumns(
+    kept = kept.withColumns({"layer_id": F.lit(layer_id), "edge_weight": weight, **dict(zip(("fx", "fy", "fz"), field))})
+    return S.unstaged(kept, "_n", "_f", "_u", "_s").drop("_along").withColumns(
         {
             "wetness": S.clamp(strength * F.col("edge_weight")),
             "field_confidence": S.clamp(0.35 + 0.65 * F.col("edge_weight")),

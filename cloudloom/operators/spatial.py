@@ -74,16 +74,18 @@ def ranked_neighbours(points: DataFrame, radius: float, *, bridge: float, branch
     points: point_index, x, y, z, nx, ny, nz, confidence.  A step is scored by drop, alignment with the flow direction, confidence and normal
     coherence; it is kept if it drops or scores high enough, and a long bridge needs tolerance.
     """
-    pairs = neighbour_pairs(points, points, radius).where(F.col("l_point_index") != F.col("r_point_index"))
+    up = (0.0, 0.0, 1.0)
+    unit = S.staged(points.select("point_index", "x", "y", "z", "nx", "ny", "nz", "confidence"), n=S.normalise(S.vec("nx", "ny", "nz")), u=S.normalise(S.vec("nx", "ny", "nz"), fallback=up))
+    unit = S.unstaged(S.staged(unit, flow=S.flow_direction(S.at("u"))), "u").drop("nx", "ny", "nz")
+    pairs = neighbour_pairs(unit, unit, radius).where(F.col("l_point_index") != F.col("r_point_index"))
     a, b = S.vec("r_x", "r_y", "r_z"), S.vec("l_x", "l_y", "l_z")
-    na, nb = S.vec("r_nx", "r_ny", "r_nz"), S.vec("l_nx", "l_ny", "l_nz")
+    na, nb, flow = S.at("r_n"), S.at("l_n"), S.at("r_flow")
     distance = F.sqrt(F.col("d2"))
     step = tuple(x / F.greatest(distance, F.lit(1e-9)) for x in (b[0] - a[0], b[1] - a[1], b[2] - a[2]))
     drop = a[2] - b[2]
-    flow = S.flow_direction(na)
     long_ = F.greatest(distance - bridge, F.lit(0.0)) / max(bridge, 1e-6)
     flat = S.clamp(na[2])
-    score = S.downhill_score(drop, distance, S.dot(step, flow), F.col("l_confidence"), S.dot(S.normalise(na), S.normalise(nb)), long_ * (1.0 - tolerance), F.greatest(-drop, F.lit(0.0)) / F.greatest(distance, F.lit(0.02)), flat, branching)
+    score = S.downhill_score(drop, distance, S.dot(step, flow), F.col("l_confidence"), S.dot(na, nb), long_ * (1.0 - tolerance), F.greatest(-drop, F.lit(0.0)) / F.greatest(distance, F.lit(0.02)), flat, branching)
     scored = pairs.select(F.col("r_point_index").alias("point_index"), F.col("l_point_index").alias("other"), score.alias("score"), drop.alias("drop"), distance.alias("distance"))
     kept = scored.where((F.col("drop") > -0.08 * bridge) | (F.col("score") > threshold))
     if tolerance < 0.18:

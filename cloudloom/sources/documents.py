@@ -162,7 +162,7 @@ def ripple_layer(value: Mapping) -> dict:
 
     out = region(value, RIPPLE)
     names = {"shoreline": "tide_bands", "linear_ripples": "linear", "radial_ripples": "radial", "salt_mineral_shimmer": "mineral_shimmer"}
-    settings = {t: asdict(DEFAULTS[names.get(t, t)]) for t in ENUMS["ripple_type"]}
+    settings = {t: {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(DEFAULTS[names.get(t, t)]).items()} for t in ENUMS["ripple_type"]}
     active = {k: value[k] for k in ("scale", "wavelength", "speed", "warp", "turbulence", "density", "direction") if k in value and k != "direction"}
     settings[out["ripple_type"]] |= active
     for t, own in value.get("pattern_settings", {}).items():
