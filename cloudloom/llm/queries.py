@@ -88,4 +88,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_decontaminate, op4_line_dedup, op5_license_scan, op6_substring_dedup, op7_simhash, op8_pii, op9_avi_media, op10_ppm_score)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+# The same in DuckDB SQL, where SQL can say it.  Not: op1 (the order within a source is by Spark's hash), op2, op5 (profiles and vectors), op7 (XXH64), op9 (AVI), op10 (PPM).
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"regexp_extract_all(coalesce(" + _LOWER + r", ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP3 = f"""
+WITH items AS (SELECT item_id::varchar AS item, {_ALNUM} AS w FROM benchmark),
+sized AS (SELECT *, least(13, len(w))::bigint AS m FROM items WHERE len(w) > 0),
+cut AS (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM sized),
+wins AS (SELECT m, array_to_string(w[i : i + m - 1], ' ') AS win, list(DISTINCT item) AS items FROM cut GROUP BY 1, 2),
+docs AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+spots AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs, (SELECT DISTINCT m FROM wins)),
+hits AS (SELECT doc_id, i, m, items FROM (SELECT doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') AS win FROM spots) JOIN wins USING (m, win)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY 1),
+ids AS (SELECT doc_id, list(DISTINCT item) AS items FROM (SELECT doc_id, unnest(items) AS item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(list_sort(items), ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN n USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+_OP4 = f"""
+WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1),
+seen AS (SELECT source, line, count(*) AS n FROM (SELECT source, unnest(list_distinct(list_transform(ls, lambda x: trim(x, ' ')))) AS line FROM l) WHERE line <> '' GROUP BY 1, 2),
+bad AS (SELECT source, list(line) AS lines FROM seen JOIN pages ON seen.source IS NOT DISTINCT FROM pages.source WHERE n >= {linededup.LEAST_PAGES} AND n > {linededup.RATIO} * pages GROUP BY 1),
+kept AS (SELECT doc_id, ls, CASE WHEN lines IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(lines, trim(x, ' '))) END AS ks FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source)
+SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(ls) - len(ks), 0) AS n_dropped, sha256(CASE WHEN len(ks) > 0 THEN array_to_string(ks, chr(10)) WHEN ks IS NOT NULL THEN '' END) AS kept_sha256 FROM kept""".replace("SELECT source, list(line) AS lines", "SELECT seen.source AS source, list(line) AS lines")
+
+_OP6 = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+cut AS (SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs)),
+least_ AS (SELECT win, min(doc_id) AS first FROM cut GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM cut JOIN least_ USING (win) WHERE first < doc_id),
+marks AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ps, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
+FROM docs LEFT JOIN marks USING (doc_id)"""
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_SUM = "coalesce(list_sum(list_transform(range(1, length({d}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN substr(reverse({d}), j, 1)::int ELSE CASE WHEN substr(reverse({d}), j, 1)::int > 4 THEN 2 * substr(reverse({d}), j, 1)::int - 9 ELSE 2 * substr(reverse({d}), j, 1)::int END END)), 0)"
+_CODES = "list_transform(range(1, length({s}) + 1), lambda j: CASE WHEN substr({s}, j, 1) BETWEEN '0' AND '9' THEN substr({s}, j, 1)::int ELSE ord(substr({s}, j, 1)) - 55 END)"
+
+
+def _kind_sql(rank: int, name: str, pattern: str, valid: str) -> str:
+    """The valid matches of a kind with their places: the pieces between matches and the matches before, summed."""
+    return f"""
+    SELECT doc_id, {rank} AS rank, '{name}' AS kind, s, s + length(m) AS e FROM (
+      SELECT doc_id, ms[i] AS m, (list_sum(list_transform(ps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda x: length(x))), 0))::bigint AS s
+      FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM documents WHERE regexp_matches(text, '{pattern}')))
+    ) WHERE {valid}"""
+
+
+_MOVED = "(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4))"
+_OP8 = "WITH spans AS (" + " UNION ALL ".join(
+    (
+        _kind_sql(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        _kind_sql(1, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: TRY_CAST(x AS hugeint))) <= 255"),
+        _kind_sql(2, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_SUM.format(d=_DIGITS)} % 10 = 0"),
+        _kind_sql(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+        _kind_sql(4, "iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", f"list_reduce(list_prepend(0, {_CODES.format(s=_MOVED)}), lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END) = 1"),
+    )
+) + """),
+told AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN told USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": _OP3, "op4_line_dedup": _OP4, "op6_substring_dedup": _OP6, "op8_pii": _OP8}
