@@ -84,6 +84,7 @@ def position(offset: Column, target: Column, knots: Sequence[tuple[float, float]
 def mix_sources(
     docs: DataFrame,
     *,
+    keep: list[str] | None = None,
     schedules: dict[str | None, Sequence[tuple[float, float]]] | None = None,
     cycle: Sequence[float] = CYCLE,
     budget: float = 1.5,
@@ -92,7 +93,7 @@ def mix_sources(
 ) -> DataFrame:
     """The rows of ``docs`` in training order, with what the mix takes of each.
 
-    docs needs doc_id, text and source; all its columns are kept in the struct ``row``.  Added: size (words),
+    docs needs doc_id, text and source; its columns ``keep`` (all by default) are in the struct ``row``.  Added: size (words),
     source_size, target (words the mix asks of the source), taken (words it takes of the row, repeats counted),
     copies (times the row is begun), position (training time of its first reading; null if never read).
 
@@ -104,16 +105,19 @@ def mix_sources(
     in the hashed order are broken by doc_id and size and rows that tie there too are alike.  An empty table gives an empty
     table.  A source without words has target 0.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("src"), n_words(F.col("text")).alias("size"))
+    source = F.col("source").cast("string")
+    # A name that is never null, so that the join and the windows below share one partitioning.
+    name = F.when(source.isNull(), "-").otherwise(F.concat(F.lit("="), source))
+    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("doc_id").alias("id"), source.alias("src"), name.alias("name"), n_words(F.col("text")).alias("size"))
     spread = rows.withColumn("draw", F.xxhash64("id")).withColumn("slot", F.pmod("draw", F.lit(slots)))
     # Source and slot totals: partial sums in the map tasks, a row for each source and slot after it.
-    slot_sizes = spread.groupBy("src", "slot").agg(F.sum("size").alias("size"))
+    slot_sizes = spread.groupBy("src", "name", "slot").agg(F.sum("size").alias("size"))
     targets = source_targets(slot_sizes.select("src", "size"), cycle=cycle, budget=budget, most=most)
-    begin = F.coalesce(F.sum("size").over(Window.partitionBy("src").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slot_begin = slot_sizes.select("src", "slot", begin.alias("slot_begin"))
-    plan = slot_begin.join(targets, slot_begin["src"].eqNullSafe(targets["src"])).drop(targets["src"])
-    keyed = spread.join(plan.withColumnsRenamed({"src": "src_", "slot": "slot_"}), F.col("src").eqNullSafe(F.col("src_")) & (F.col("slot") == F.col("slot_"))).drop("src_", "slot_")
-    within = Window.partitionBy("src", "slot").orderBy("draw", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum("size").over(Window.partitionBy("name").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slot_begin = slot_sizes.select("src", "name", "slot", begin.alias("slot_begin"))
+    plan = slot_begin.join(targets, slot_begin["src"].eqNullSafe(targets["src"])).drop("src")
+    keyed = spread.join(plan, ["name", "slot"])
+    within = Window.partitionBy("name", "slot").orderBy("draw", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("offset", F.col("slot_begin") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     rounds = [F.greatest(F.lit(0.0), F.least(F.col("size"), F.floor("target") - F.col("offset") - r * F.col("source_size"))) for r in range(int(-(-most // 1)))]
     taken = sum(rounds[1:], rounds[0]).cast("long")
