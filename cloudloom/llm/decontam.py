@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudloom.llm import _words
+from cloudloom.llm._rows import packed, tidied
+from cloudloom.llm._rows import texts as column
 
 #: Words of a window, words of a fingerprinted gram.
 WINDOW, GRAM = 13, 5
@@ -103,7 +105,7 @@ def _finish(n_words: int, starts, sizes, items) -> tuple[int, int, str]:
 
 
 def _scan(rows: DataFrame, bench: Benchmark, schema: T.StructType, shape) -> DataFrame:
-    """Over rows (row, t): ``shape`` makes the columns besides row from (n_words, starts, sizes, items) of each text."""
+    """Over ``packed`` rows: ``shape`` makes the columns besides row from (n_words, starts, sizes, items) of each text."""
     shared = rows.sparkSession.sparkContext.broadcast(bench)
     names = schema.names[1:]
     kinds = [pa.list_(pa.string()) if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType) else pa.list_(pa.int32()) if isinstance(f.dataType, T.ArrayType) else {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[f.dataType.simpleString()] for f in schema.fields[1:]]
@@ -112,7 +114,7 @@ def _scan(rows: DataFrame, bench: Benchmark, schema: T.StructType, shape) -> Dat
         bench = shared.value
         for batch in batches:
             out = []
-            texts = _words.to_bytes(batch.column(1))
+            texts = _words.to_bytes(column(batch))
             for g in _words.groups(texts):
                 words = _words.split(texts[g], _words.ALNUM, lower=True)
                 starts, sizes, items = bench.hits(words)
@@ -126,7 +128,7 @@ def _scan(rows: DataFrame, bench: Benchmark, schema: T.StructType, shape) -> Dat
             columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", *names])
 
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(tidied(scan), schema)
 
 
 def _decided(n: int, starts, sizes, items) -> tuple:
@@ -145,13 +147,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str]
     Null and empty texts have no words, so nothing of them is hit.  An item with a null id hits words but is not listed.  Items that
     repeat count once.  Rows that repeat are rows of their own.  An empty benchmark hits nothing; an empty table gives an empty table.
     """
-    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").alias("t"))
+    rows = packed(docs, keep)
     final = T.StructType([rows.schema["row"], *T._parse_datatype_string("n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean").fields])
     blocks = _blocks(benchmark, block_bytes)
     first, second = next(blocks), next(blocks, None)
     if second is None:
         return _scan(rows, Benchmark(first, window), final, _decided)
-    rows = rows.select(F.struct("row", F.monotonically_increasing_id().alias("rid")).alias("row"), "t")
+    text = F.col("t") if "t" in rows.columns else F.col("row.text")
+    rows = rows.select(F.struct("row", F.monotonically_increasing_id().alias("rid")).alias("row"), text.alias("t"))
     part = T.StructType([rows.schema["row"], *T._parse_datatype_string(_RESULT).fields])
     raw = lambda n, starts, sizes, items: (n, starts, sizes, sorted(items))
     hits = None

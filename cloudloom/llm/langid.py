@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloudloom.llm._rows import packed, texts, tidied
+
 #: N-grams kept of a language and of a document.
 PROFILE, DOCUMENT = 400, 300
 #: Labelled documents that a language's profile is learned from, about.
@@ -36,10 +38,10 @@ def _is_letter() -> np.ndarray:
     global _letters
     if _letters is None:
         _letters = np.zeros(0x110000, bool)
-        every = "".join(map(chr, [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]))
-        for m in regex.finditer(r"\p{L}+", every):
-            _letters[ord(m.group()[0]) : ord(m.group()[-1]) + 1] = True
-        _letters[0xD800:0xE000] = False
+        for begin in range(0, 0x110000, 0x800):  # in small pieces: all of them at once are a million strings
+            if not 0xD800 <= begin < 0xE000:
+                for m in regex.finditer(r"\p{L}+", "".join(map(chr, range(begin, begin + 0x800)))):
+                    _letters[begin + m.start() : begin + m.end()] = True
     return _letters
 
 
@@ -135,14 +137,14 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], *, keep: list[str]
     A null text, or one without a letter, gets ``und`` and score 0, as does every text if there are no profiles.
     Languages that are equally near: the first by code point.  Whole texts are read.  An empty table gives an empty table.
     """
-    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").alias("t"))
+    rows = packed(docs, keep)
     model = docs.sparkSession.sparkContext.broadcast(Classifier(profiles))
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = model.value
         for batch in batches:
-            found = [classify(t) for t in batch.column(1).to_pylist()]
+            found = [classify(t) for t in texts(batch).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(tidied(predict), schema)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.llm import _words
 from cloudloom.llm._graph import shared
+from cloudloom.llm._rows import tidied
 
 #: Bytes of context; the counts pack ORDER + 1 bytes into 32 bits.
 ORDER = 3
@@ -103,7 +104,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count(texts: DataFrame) -> DataFrame:
     """The counts (kind, a, b, n) of the tokens, byte grams and texts of ``texts`` (text), over all of it."""
-    parts = texts.select("text").mapInArrow(_counted, "kind int, a long, b long, n long")
+    parts = texts.select("text").mapInArrow(tidied(_counted), "kind int, a long, b long, n long")
     return shared(parts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
 
 
@@ -212,7 +213,7 @@ def score_adaptive(docs: DataFrame, *, order: int = ORDER) -> DataFrame:
             found = [adaptive(t, order) for t in _words.to_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["row", "score"])
 
-    return rows.mapInArrow(scored, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(tidied(scored), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 _SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, log_sum double, score double, a long, b long, tf long"
@@ -276,7 +277,7 @@ def score(docs: DataFrame, held_out: Column, *, nodes: int = NODES, heavy: int =
                     yield pa.RecordBatch.from_arrays([pa.array(rids[d]), *none, pa.array(keys[w, 0]), pa.array(keys[w, 1]), pa.array(tf[light])], names)
 
     # A row for each text, and one for each of its rarer tokens.  Those meet their counts and then their text's row, all in two shuffles.
-    rows = docs.mapInArrow(scored, _SCORED)
+    rows = docs.mapInArrow(tidied(scored), _SCORED)
     rare = counts.where((F.col("kind") == 0) & ~is_heavy).select(F.col("a").alias("a_"), F.col("b").alias("b_"), "n")
     met = rows.join(rare, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left")
     each = met.groupBy("rid").agg(

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from cloudloom.llm import _words
 from cloudloom.llm._graph import components, shared
+from cloudloom.llm._rows import packed, texts, tidied
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints of a bucket that are compared with each other directly.
@@ -51,15 +52,14 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
 
 def with_fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Each row of ``docs`` (text) as the struct ``row`` of its columns ``keep`` (all by default), and fp, its fingerprint as a long."""
-    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").alias("t"))
+    rows = packed(docs, keep)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.translate(_words.LOWER) for t in _words.to_bytes(batch.column(1))]
-            fps = [fingerprint(_split(t)) for t in texts]
+            fps = [fingerprint(_split(t.translate(_words.LOWER))) for t in _words.to_bytes(texts(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["row", "fp"])
 
-    return rows.mapInArrow(hashed, T.StructType([rows.schema["row"], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(tidied(hashed), T.StructType([rows.schema["row"], T.StructField("fp", T.LongType())]))
 
 
 def _split(text: bytes) -> list[bytes]:
