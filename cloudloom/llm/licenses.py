@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloudloom.llm._graph import shared
+from cloudloom.llm._rows import tidied
+
 # Short notices and headers of common licences.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -41,8 +44,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. The Unlicense."),
 )
-#: Lines with one of these words belong to the header.
-CUE = re.compile(r"licen[sc]|copyright|\bspdx|permission is hereby|redistribut|public domain|creative commons|\bcc0?[ -]by|unencumbered", re.I)
+#: Lines with one of these, in any case, belong to the header. Plain substrings: most texts have none, and are done with at the speed of a search.
+CUES = ("licens", "licenc", "copyright", "spdx", "permission is hereby", "redistribut", "public domain", "creative commons", "cc by", "cc-by", "cc0", "unencumbered")
 #: Base names of licence files.
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|unlicense)([._-].*)?$"
 #: Cosine from which a header is taken for a template's licence.
@@ -55,7 +58,9 @@ _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 def header(text: str | None) -> str:
     """The lines that speak of licences."""
-    return "\n".join(line for line in (text or "").split("\n") if CUE.search(line))
+    low = (text or "").lower()
+    cues = [c for c in CUES if c in low]
+    return "\n".join(line for line in text.split("\n") if any(c in line.lower() for c in cues)) if cues else ""
 
 
 def tokens(text: str) -> Counter[str]:
@@ -103,7 +108,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def detect(files: DataFrame, *, keep: list[str] | None = None, least: float = LEAST_COSINE) -> DataFrame:
     """Each row of ``files`` (path, text) as the struct ``row`` of its columns ``keep`` (all by default), with detected, the licence of its header, and cosine."""
     # One row for each word of the templates' vocabulary at most, whatever the files are.
-    df = files.select("text").mapInArrow(_frequencies, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    df = files.select("text").mapInArrow(tidied(_frequencies), "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     counts = {r["token"]: r["n"] for r in df}
     matcher = files.sparkSession.sparkContext.broadcast(Matcher(counts, counts.get("", 0)))
     rows = files.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").alias("t"), F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE), F.lit(False)).alias("whole"))
@@ -123,7 +128,7 @@ def detect(files: DataFrame, *, keep: list[str] | None = None, least: float = LE
                 found.append((name if cosine >= least else None, cosine))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["row", "detected", "cosine"])
 
-    return rows.mapInArrow(matched, T.StructType([rows.schema["row"], *T._parse_datatype_string("detected string, cosine double").fields]))
+    return rows.mapInArrow(tidied(matched), T.StructType([rows.schema["row"], *T._parse_datatype_string("detected string, cosine double").fields]))
 
 
 def scan_licenses(files: DataFrame, *, keep: list[str] | None = None, least: float = LEAST_COSINE, salts: int = SALTS) -> DataFrame:
@@ -137,7 +142,7 @@ def scan_licenses(files: DataFrame, *, keep: list[str] | None = None, least: flo
     A null or empty text has no header.  A null path lies in no directory and inherits nothing.  Rows that repeat
     are rows of their own.  An empty table gives an empty table.
     """
-    found = detect(files, keep=keep, least=least)
+    found = shared(detect(files, keep=keep, least=least))  # three uses below
     parts = F.split("row.path", "/")
     placed = found.withColumn("dir", F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/"))
     name = F.element_at(parts, -1)
