@@ -6,8 +6,9 @@ node of the suffix tree at that depth.  Depth ``window`` is all that is asked, s
 1. A suffix's group is named by the least GRAM-word hash in its first ``window`` words (its anchor).  Equal prefixes have equal anchors, so no subtree is
    torn; neighbouring suffixes mostly share theirs and travel as one segment of text, not as a copy of ``window`` words each.
 2. Anchors that stand in one document only have no deep node with two documents; their suffixes are never sent.
-3. Groups above GROUP segments are split by longer prefixes, to the whole ``window`` words: such a group is a single
-   deep node, and is reduced to its least document by partial aggregation.
+3. Large groups are split by longer prefixes, to the whole ``window`` words: such a group is a single deep node.  Their anchors are few by
+   definition and go to every task; equal segments become one before anything is shuffled, so a passage in a third of all
+   documents costs as many rows as it has different surroundings.
 4. The other groups are sorted by words 1, 2, 4, ... ``window`` deep (prefix doubling); suffixes with equal rank at the
    last depth are the leaves below one deep internal node.  Words are compared themselves, not their hashes.
 
@@ -27,11 +28,14 @@ from pyspark.sql import types as T
 
 from cloudloom.llm import _words
 from cloudloom.llm._graph import shared
+from cloudloom.llm._rows import tidied
 
 #: Words of a passage, and of the grams that name groups.
 WINDOW, GRAM = 50, 16
-#: Segments of a group; above it, or above 1 / HEAVY of all segments if that is more, a group is split.
-GROUP, HEAVY = 512, 1 << 20
+#: A group is split above this share of all segments, within the two limits.
+SHARE, LEAST_GROUP, MOST_GROUP = 1 / 4096, 64, 200_000
+#: Anchors of split groups that are sent to every task at most; with more, MOST_GROUP is raised.
+HOT = 4_000_000
 #: Text of the groups that are sorted together.
 CHUNK_BYTES = 4 << 20
 #: Stands for a null doc_id, which counts last.
@@ -96,11 +100,11 @@ def _refs(window: int, gram: int):
 
 
 def _light(window: int):
-    """Texts of the listed segments: (h, doc, tkey, start, run, content)."""
+    """Texts of the listed segments of (doc, tkey, row, segs): (h, doc, tkey, start, run, content)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _words.to_bytes(batch.column(2))
+            texts = _words.to_bytes(batch.column(2).field("text"))
             doc, tkey, listed = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
             out: list[tuple] = []
             for i, t in enumerate(texts):
@@ -113,27 +117,75 @@ def _light(window: int):
     return cut
 
 
-def _heavy(window: int):
-    """128 bits of each window of the listed segments: (k1, k2, doc, tkey, start)."""
+def _digests(texts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(t) for t in texts]), ">i8").astype(np.int64).reshape(-1, 2)
+
+
+def _heavy(window: int, gram: int, hot, distinct: bool):
+    """The segments of (doc, tkey, text) with a hot anchor.
+
+    Each occurrence: (s1, s2, doc, tkey, start), s the segment's 128 bits; or, if ``distinct``, each different segment of a task
+    once: (content, least, most), its text and the least and greatest document that have it.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ends, size = hot.value, {}, 0
+
+        def told() -> pa.RecordBatch:
+            least, most = zip(*ends.values())
+            return pa.RecordBatch.from_arrays([pa.array(list(ends), pa.binary()), pa.array(least, pa.int64()), pa.array(most, pa.int64())], ["content", "least", "most"])
+
         for batch in batches:
             texts = _words.to_bytes(batch.column(2))
-            doc, tkey, listed = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            keys, out = [], []
-            for i, t in enumerate(texts):
-                words = t.split()
-                for start, run in {(x["start"], x["run"]) for x in listed[i]}:
-                    for s in range(start, start + run):
-                        keys.append(xxhash.xxh3_128_digest(b" ".join(words[s : s + window])))
-                        out.append((doc[i], tkey[i], s))
-            k = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
-            rest = [pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), *rest], ["k1", "k2", "doc", "tkey", "start"])
+            doc, tkey = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for g in _words.groups(texts):
+                words = _words.split(texts[g], _words.NOT_SPACE, lower=False)
+                h, begin, runs = segments(words, window, gram)
+                spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                own = np.flatnonzero(known[spot] == h)
+                d = np.searchsorted(words.first, begin[own], "right") - 1
+                content = [words.span(a, a + n + window - 1) for a, n in zip(begin[own].tolist(), runs[own].tolist())]
+                if not distinct:
+                    s = _digests(content)
+                    arrays = [s[:, 0], s[:, 1], doc[g][d], tkey[g][d], (begin[own] - words.first[d]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["s1", "s2", "doc", "tkey", "start"])
+                    continue
+                for t, x in zip(content, doc[g][d].tolist()):
+                    own_ends = ends.get(t)
+                    if own_ends is None:
+                        size += len(t)
+                        ends[t] = x, x
+                    elif x < own_ends[0] or x > own_ends[1]:
+                        ends[t] = min(x, own_ends[0]), max(x, own_ends[1])
+                if size > 8 * _words.GROUP_BYTES:
+                    yield told()
+                    ends, size = {}, 0
+        if ends:
+            yield told()
 
     return cut
 
 
+def _spread(window: int):
+    """The windows of different segments (content, least, most): (s1, s2, place, k1, k2, least, most), k the window's 128 bits."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            s, of, cuts = _digests(texts), [], []
+            for i, t in enumerate(texts):
+                ws = t.split(b" ")
+                for place in range(len(ws) - window + 1):
+                    cuts.append(b" ".join(ws[place : place + window]))
+                    of.append((i, place))
+            k, of = _digests(cuts), np.array(of, np.int64).reshape(-1, 2)
+            least, most = (batch.column(c).to_numpy()[of[:, 0]] for c in (1, 2))
+            arrays = [s[of[:, 0], 0], s[of[:, 0], 1], of[:, 1].astype(np.int32), k[:, 0], k[:, 1], least, most]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["s1", "s2", "place", "k1", "k2", "least", "most"])
+
+    return spread
+
+
 def _trees(window: int, chunk_bytes: int):
     """Over rows sorted by h: the windows whose deep node has a smaller document, as (doc, tkey, start, n)."""
 
@@ -174,7 +226,7 @@ def _trees(window: int, chunk_bytes: int):
 def _finish(window: int):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = _words.to_bytes(batch.column(1)), batch.column(2).to_pylist()
+            texts, gone = _words.to_bytes(batch.column(0).field("text")), batch.column(1).to_pylist()
             kept, total, removed = [], [], []
             for t, ranges in zip(texts, gone):
                 words = t.split()
@@ -194,7 +246,7 @@ def _finish(window: int):
     return finish
 
 
-def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, heavy: int = HEAVY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, share: float = SHARE, least_group: int = LEAST_GROUP, most_group: int = MOST_GROUP, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) as the struct ``row``, its text without repeated passages, and counts.
 
     A word is removed if a passage of ``window`` words that covers it also begins in a row with a smaller doc_id.  Added: kept_text (the
@@ -203,25 +255,33 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     Null and empty texts have no words and give an empty kept_text.  A null doc_id counts as larger than all others.  Rows with the same doc_id
     never remove from each other.  Texts shorter than ``window`` words are kept.  An empty table gives an empty table.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tkey"), F.struct("*").alias("row"))
     texts = rows.select("doc", "tkey", F.col("row.text").alias("text"))
-    refs = shared(texts.mapInArrow(_refs(window, gram), "doc long, tkey long, h long, start int, run int"))
+    refs = shared(texts.mapInArrow(tidied(_refs(window, gram)), "doc long, tkey long, h long, start int, run int"))
     # A row for each anchor: partial sums before the shuffle.
-    met = shared(refs.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).where(F.col("least") < F.col("most")).select("h", "n"))
-    large = max(group, refs.count() // heavy)
-    # At most ``heavy`` anchors have more than 1 / heavy of the segments, so these may go to every task.
-    hot = F.broadcast(met.where(F.col("n") > large).select(F.col("h").alias("hot")))
-    marked = refs.join(hot, F.col("h") == F.col("hot"), "left")
-    calm = met.where(F.col("n") <= large).select("h")
-    light = marked.where(F.col("hot").isNull()).drop("hot").join(calm, "h")
-    seg = F.struct("h", "start", "run")
-    per_doc = lambda df: df.groupBy("doc", "tkey").agg(F.collect_list(seg).alias("segs"))  # noqa: E731  a document's own segments
-    listed = lambda df: texts.join(per_doc(df), ["doc", "tkey"]).select("doc", "tkey", "text", "segs")
-    pieces = listed(light).mapInArrow(_light(window), "h long, doc long, tkey long, start int, run int, content binary")
-    gone = pieces.repartition("h").sortWithinPartitions("h").select("h", "doc", "tkey", "start", "run", "content").mapInArrow(_trees(window, chunk_bytes), "doc long, tkey long, start int, n int")
-    windows = shared(listed(marked.where(F.col("hot").isNotNull())).mapInArrow(_heavy(window), "k1 long, k2 long, doc long, tkey long, start int"))
-    node = shared(windows.groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where(F.col("least") < F.col("most")).drop("most"))
-    gone_hot = windows.join(node, ["k1", "k2"]).where(F.col("doc") > F.col("least")).select("doc", "tkey", "start", F.lit(1).alias("n"))
-    removal = gone.unionByName(gone_hot).groupBy("doc", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    met = shared(refs.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") < F.col("last")).select("h", "n"))
+    total = refs.count()
+    large = max(least_group, min(int(total * share), most_group), total // HOT)
+    # Fewer than total / large <= max(1 / share, HOT) anchors: bounded, whatever the corpus.
+    hot = np.sort(np.array([r["h"] for r in met.where(F.col("n") > large).select("h").collect()], np.int64))
+    calm = refs.join(met.where(F.col("n") <= large).select("h"), "h")
+    listed = calm.groupBy("doc", "tkey").agg(F.collect_list(F.struct("h", "start", "run")).alias("segs"))  # a document's own segments
+    # The documents are dealt once, by (doc, tkey): both joins below read the same shuffle.
+    pieces = rows.join(listed, ["doc", "tkey"]).select("doc", "tkey", "row", "segs").mapInArrow(tidied(_light(window)), "h long, doc long, tkey long, start int, run int, content binary")
+    gone = pieces.repartition("h").sortWithinPartitions("h").select("h", "doc", "tkey", "start", "run", "content").mapInArrow(tidied(_trees(window, chunk_bytes)), "doc long, tkey long, start int, n int")
+    gone = gone.select("doc", "tkey", F.array(F.struct("start", "n")).alias("gone"))
+    if len(hot):
+        known = spark.sparkContext.broadcast(hot)
+        segs = texts.mapInArrow(tidied(_heavy(window, gram, known, True)), "content binary, least long, most long")
+        segs = segs.groupBy("content").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        spread = shared(segs.mapInArrow(tidied(_spread(window)), "s1 long, s2 long, place int, k1 long, k2 long, least long, most long"))
+        node = shared(spread.groupBy("k1", "k2").agg(F.min("least").alias("least"), F.max("most").alias("most")).where(F.col("least") < F.col("most")).drop("most"))
+        places = spread.select("s1", "s2", "place", "k1", "k2").join(node, ["k1", "k2"])
+        marks = shared(places.groupBy("s1", "s2").agg(F.collect_list(F.struct("place", "least")).alias("marks")))  # of a segment, as many as it has windows
+        found = texts.mapInArrow(tidied(_heavy(window, gram, known, False)), "s1 long, s2 long, doc long, tkey long, start int").join(marks, ["s1", "s2"])
+        taken = F.transform(F.filter("marks", lambda m: m["least"] < F.col("doc")), lambda m: F.struct((F.col("start") + m["place"]).alias("start"), F.lit(1).alias("n")))
+        gone = gone.unionByName(found.select("doc", "tkey", taken.alias("gone")).where(F.size("gone") > 0))
+    removal = gone.groupBy("doc", "tkey").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     final = T.StructType([rows.schema["row"], *T._parse_datatype_string("kept_text string, n_words long, n_removed long").fields])
-    return rows.join(removal, ["doc", "tkey"], "left").select("row", F.col("row.text").alias("text"), "gone").mapInArrow(_finish(window), final)
+    return rows.join(removal, ["doc", "tkey"], "left").select("row", "gone").mapInArrow(tidied(_finish(window)), final)

@@ -38,12 +38,12 @@ def _passages(seed, window):
     return [*out, out[5], (70, None), (71, ""), (72, out[7][1])]
 
 
-@pytest.mark.parametrize("group,chunk_bytes", [(512, 1 << 22), (512, 300), (2, 300)])
-def test_substrings_against_brute_force(spark, group, chunk_bytes):
+@pytest.mark.parametrize("least_group,chunk_bytes", [(512, 1 << 22), (512, 300), (2, 300)])
+def test_substrings_against_brute_force(spark, least_group, chunk_bytes):
     for seed in (1, 2):
         docs = _passages(seed, 8)
         df = spark.createDataFrame(docs, "doc_id long, text string")
-        got = substring.dedup_substrings(df, window=8, gram=3, group=group, chunk_bytes=chunk_bytes)
+        got = substring.dedup_substrings(df, window=8, gram=3, least_group=least_group, chunk_bytes=chunk_bytes)
         from pyspark.sql import functions as F
 
         found = rows(got.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("s")), "doc_id", "n_words", "n_removed", "s")
