@@ -365,6 +365,21 @@ def test_table_is_ppm(spark):
     assert whole == pytest.approx(1, rel=1e-5)
 
 
+@pytest.mark.parametrize("grams", [1 << 20, 16, 0])
+def test_ppm_scores_by_all_contexts(spark, grams):
+    """A script that is a millionth of the bytes still scores by its own contexts, as in the table of all counts, whatever is joined."""
+    texts = [(i, "the cat sat on the mat " * 9000 if i % 3 else "a rather short one") for i in range(24)] + [(90 + i, "ქართული ენა") for i in range(2)] + [(95, "ქართული"), (96, "zq\u0416 the"), (97, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    held = F.col("doc_id").isin(3, 95, 96, 97)
+    model = ppm.train(ppm.count(docs.where(~held)))
+    got = {r["doc_id"]: r["score"] for r in ppm.score(docs, held, grams=grams).collect()}
+    for d, t in texts:
+        assert got[d] == pytest.approx(model.score([t.encode()])[0], rel=1e-4)
+    assert got[95] > -20  # 22 bytes and the end; -53 if each were as likely as any
+
+
 def test_ppm_odd(odd, spark):
     from pyspark.sql import functions as F
 
