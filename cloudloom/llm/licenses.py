@@ -1,8 +1,9 @@
 """Licence scans: TF-IDF cosine of licence headers to templates, then inheritance from the nearest directory above.
 
 1. The lines of a file that speak of licences are its header; a licence file (LICENSE, COPYING, ...) is compared as a whole too.
-2. Headers and templates are sparse TF-IDF vectors over the templates' vocabulary, with document
-   frequencies over all headers; the template of the greatest cosine names the licence.
+2. Headers and templates are sparse TF-IDF vectors with the document frequencies of all words over all headers; the
+   template of the greatest cosine names the licence.  A notice that shares its line with a holder's name is compared on its own too.
+   Words of templates and of at least 1 / COMMON of the headers go to every task; rarer ones meet their counts in a join.
 3. A directory has the licence of its licence file.  A file without one of its own takes that of the nearest directory
    above it: every different directory is joined with its ancestors, and files with directories.
 """
@@ -50,6 +51,10 @@ CUES = ("licens", "licenc", "copyright", "spdx", "permission is hereby", "redist
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|unlicense)([._-].*)?$"
 #: Cosine from which a header is taken for a template's licence.
 LEAST_COSINE = 0.6
+#: Words of at least 1 / COMMON of the headers are sent to every task.
+COMMON = 1 << 16
+#: Words that a task passes on at a time.
+FLUSH = 400_000
 #: Parts that the files of a directory are dealt to.
 SALTS = 64
 
@@ -67,14 +72,25 @@ def tokens(text: str) -> Counter[str]:
     return Counter(_TOKEN.findall(text.lower()))
 
 
+_SENTENCE, _HOLDER = re.compile(r"(?<=[.;])\s+"), re.compile(r"(?i)copyright|\(c\)|\u00a9|all rights reserved")
+
+
+def pieces(line: str) -> list[str]:
+    """The parts of a line that may be a notice of their own: its sentences, what follows a holder's name, and all that names no holder."""
+    sentences = [x for x in _SENTENCE.split(line) if x.strip()]
+    own = [*sentences, *(y for x in sentences if _HOLDER.search(x) for y in re.split(r",\s+", x)[1:])]
+    rest = " ".join(x for x in sentences if not _HOLDER.search(x))
+    return [x for x in dict.fromkeys([*own, rest]) if x != line and any(c in x.lower() for c in CUES)]
+
+
 _VOCABULARY = frozenset(t for _, text in TEMPLATES for t in tokens(text))
 
 
 class Matcher:
-    """Cosines to the templates; ``df`` counts the headers with each word of the vocabulary, out of ``n``."""
+    """Cosines to the templates; ``df`` counts the headers with each word, out of ``n``."""
 
     def __init__(self, df: dict[str, int], n: int):
-        self.idf = {t: 1 + math.log((1 + n) / (1 + df.get(t, 0))) for t in _VOCABULARY}
+        self.idf = {t: 1 + math.log((1 + n) / (1 + df.get(t, 0))) for t in _VOCABULARY | (df.keys() - {""})}
         self.other = 1 + math.log(1 + n)  # a word that no template has
         self.templates = []
         for name, text in TEMPLATES:
@@ -94,21 +110,48 @@ class Matcher:
         best = max(self.templates, key=lambda t: sum(x * t[1].get(w, 0.0) for w, x in vector.items()))
         return best[0], min(1.0, sum(x * best[1].get(w, 0.0) for w, x in vector.items()) / norm)
 
+    def partly(self, text: str) -> dict:
+        """The nearest template, the product with it, the square of the length over the words that are known here, and the others with their times."""
+        counts = tokens(text)
+        vector = self._vector({t: c for t, c in counts.items() if t in self.idf})
+        best = max(self.templates, key=lambda t: sum(x * t[1].get(w, 0.0) for w, x in vector.items()))
+        product = sum(x * best[1].get(w, 0.0) for w, x in vector.items())
+        rare = [{"token": t, "times": c} for t, c in sorted(counts.items()) if t not in self.idf]
+        return {"name": best[0], "product": product, "square": sum(x * x for x in vector.values()), "rare": rare}
+
+
+def _counter(vocabulary: frozenset[str] | None):
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if own := header(text):
+                    seen[""] += 1
+                    seen.update(tokens(own).keys() if vocabulary is None else vocabulary & tokens(own).keys())
+            if len(seen) > FLUSH:
+                yield out()
+                seen.clear()
+        yield out()
+
+    return frequencies
+
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[str] = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if own := header(text):
-                seen[""] += 1
-                seen.update(_VOCABULARY & tokens(own).keys())
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
+def frequencies(files: DataFrame, vocabulary: frozenset[str] | None = None) -> DataFrame:
+    """(token, n): the headers of ``files`` (text) with each word, or each of the vocabulary; with "", all headers."""
+    return files.select("text").mapInArrow(tidied(_counter(vocabulary)), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def detect(files: DataFrame, *, keep: list[str] | None = None, least: float = LEAST_COSINE) -> DataFrame:
-    """Each row of ``files`` (path, text) as the struct ``row`` of its columns ``keep`` (all by default), with detected, the licence of its header, and cosine."""
+    """Each row of ``files`` (path, text) as the struct ``row`` of its columns ``keep`` (all by default), with detected, the licence of its header, and cosine.
+
+    Only words of the templates are counted here, and lines are compared whole: for files whose headers hold little else.  scan_licenses uses detect_all.
+    """
     # One row for each word of the templates' vocabulary at most, whatever the files are.
-    df = files.select("text").mapInArrow(tidied(_frequencies), "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    df = frequencies(files, _VOCABULARY).collect()
     counts = {r["token"]: r["n"] for r in df}
     matcher = files.sparkSession.sparkContext.broadcast(Matcher(counts, counts.get("", 0)))
     rows = files.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").alias("t"), F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE), F.lit(False)).alias("whole"))
@@ -131,6 +174,44 @@ def detect(files: DataFrame, *, keep: list[str] | None = None, least: float = LE
     return rows.mapInArrow(tidied(matched), T.StructType([rows.schema["row"], *T._parse_datatype_string("detected string, cosine double").fields]))
 
 
+def detect_all(files: DataFrame, *, keep: list[str] | None = None, least: float = LEAST_COSINE, common: int = COMMON) -> DataFrame:
+    """As detect(), with the frequencies of all header words, and with the pieces of each line compared on their own too."""
+    df = shared(frequencies(files))
+    n = df.where("token = ''").agg(F.sum("n")).first()[0] or 0
+    known = (F.col("n") * common >= n) | F.col("token").isin(sorted(_VOCABULARY | {""}))
+    matcher = files.sparkSession.sparkContext.broadcast(Matcher({r["token"]: r["n"] for r in df.where(known).collect()}, n))
+    rows = files.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").alias("t"), F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE), F.lit(False)).alias("whole"))
+    part = pa.struct([("k", pa.int32()), ("name", pa.string()), ("product", pa.float64()), ("square", pa.float64()), ("rare", pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())])))])
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = matcher.value
+        for batch in batches:
+            found = []
+            for text, whole in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own = header(text)
+                lines = sorted({line for line in own.split("\n") if line.strip()})
+                # the header, its single lines, the notices within them, and licence files as a whole
+                each = dict.fromkeys([own, *lines, *(x for line in lines for x in pieces(line)), *([text or ""] if whole else [])])
+                found.append([{"k": k, **match.partly(x)} for k, x in enumerate(x for x in each if x)] or None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(part))], ["row", "parts"])
+
+    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("parts array<struct<k int, name string, product double, square double, rare array<struct<token string, times long>>>>").fields])
+    found = shared(rows.mapInArrow(tidied(matched), schema).withColumn("rid", F.monotonically_increasing_id()))
+    compared = found.where(F.col("parts").isNotNull())
+    each = compared.select("rid", F.explode("parts").alias("part")).select("rid", "part.*")
+    words = each.select("rid", "k", "name", "product", "square", F.explode_outer("rare").alias("word"))
+    # without rarer words, a key of its own that is no word: nulls would all go to one task
+    words = words.withColumn("token", F.coalesce("word.token", F.concat(F.lit(" "), F.col("rid").cast("string")))).withColumn("times", F.col("word.times")).drop("word")
+    rare = df.where(~known).select("token", F.col("n").alias("df"))
+    weight = (1 + F.log("times")) * (1 + F.log((1 + n) / (1 + F.coalesce("df", F.lit(0)))))
+    more = F.coalesce(F.sum(weight * weight), F.lit(0.0))
+    lengths = words.join(rare, "token", "left").groupBy("rid", "k").agg(F.first("name").alias("name"), F.first("product").alias("product"), F.sqrt(F.first("square") + more).alias("length"))
+    cosine = F.when(F.col("length") > 0, F.least(F.lit(1.0), F.col("product") / F.col("length"))).otherwise(0.0)
+    best = lengths.select("rid", "k", "name", cosine.alias("cosine")).groupBy("rid").agg(F.max_by(F.struct("name", "cosine"), F.struct("cosine", -F.col("k"))).alias("best"))
+    named = compared.join(best, "rid").select("row", F.when(F.col("best.cosine") >= least, F.col("best.name")).alias("detected"), F.col("best.cosine").alias("cosine"))
+    return named.unionByName(found.where(F.col("parts").isNull()).select("row", F.lit(None).cast("string").alias("detected"), F.lit(0.0).alias("cosine")))
+
+
 def scan_licenses(files: DataFrame, *, keep: list[str] | None = None, least: float = LEAST_COSINE, salts: int = SALTS) -> DataFrame:
     """Each row of ``files`` (path, text) as the struct ``row`` of its columns ``keep``, with its licence.
 
@@ -142,7 +223,7 @@ def scan_licenses(files: DataFrame, *, keep: list[str] | None = None, least: flo
     A null or empty text has no header.  A null path lies in no directory and inherits nothing.  Rows that repeat
     are rows of their own.  An empty table gives an empty table.
     """
-    found = shared(detect(files, keep=keep, least=least))  # three uses below
+    found = shared(detect_all(files, keep=keep, least=least))  # three uses below
     parts = F.split("row.path", "/")
     placed = found.withColumn("dir", F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/"))
     name = F.element_at(parts, -1)

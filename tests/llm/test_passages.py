@@ -95,6 +95,30 @@ def test_license_cosines(spark):
     assert [r["detected"] for r in got][:6] == ["MIT", "CC-BY-NC-4.0", None, None, None, None]
 
 
+@pytest.mark.parametrize("common", [licenses.COMMON, 0])
+def test_license_beside_a_holder(spark, common):
+    """A notice that shares its line with a holder's name is found however many headers there are, with the frequencies of all words."""
+    notice = "Copyright (c) {} {}. Released under the MIT License."
+    files = [(f"d/{i}", notice.format(1990 + i % 30, f"holder{i}") if i % 2 else "The licensing office of town is closed.") for i in range(600)]
+    files += [("e/1", "Copyright 2020 Foo Bar Inc., licensed under the GNU General Public License, version 3"), ("e/2", "All rights reserved. Copyright (c) 2001 Foo Bar."), ("e/3", None)]
+    df = spark.createDataFrame(files, "path string, text string")
+    got = {r["row"]["path"]: (r["detected"], r["cosine"]) for r in licenses.detect_all(df, common=common).collect()}
+    assert len(got) == len(files)
+    assert {got[f"d/{i}"][0] for i in range(1, 600, 2)} == {"MIT"} and {got[f"d/{i}"][0] for i in range(0, 600, 2)} == {None}
+    assert (got["e/1"][0], got["e/2"][0], got["e/3"]) == ("GPL-3.0", None, (None, 0.0))
+    scanned = {r["row"]["path"]: r["detected"] for r in licenses.scan_licenses(df, salts=3).collect()}
+    assert scanned == {p: d for p, (d, _) in got.items()}
+    headers = [h for _, t in files if (h := licenses.header(t))]
+    df_ = {}
+    for h in headers:
+        for t in licenses.tokens(h):
+            df_[t] = df_.get(t, 0) + 1
+    match = licenses.Matcher(df_, len(headers))
+    for p, t in files:
+        if t:
+            assert got[p][1] == pytest.approx(max(match(x)[1] for x in [t, *licenses.pieces(t)]), abs=1e-12)
+
+
 def test_license_inheritance(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     files = [("LICENSE", mit), ("a/x.c", "code"), ("a/b/COPYING", gpl), ("a/b/c/y.c", "code"), ("a/b/z.c", mit), ("w.c", None), (None, "t"), ("a/x.c", "code")]
