@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by rank of the source name, repeating.
 CYCLE = (5.0, 2.0, 1.0)
+#: Schedules (time, relative weight) by rank of the source name, repeating as CYCLE does: the heaviest sources fade, the middle ones peak halfway, the lightest grow.
+CURRICULUM = (((0.0, 1.0), (0.6, 0.8), (1.0, 0.4)), ((0.0, 0.5), (0.5, 1.0), (1.0, 0.5)), ((0.0, 0.25), (0.7, 0.75), (1.0, 2.0)))
 #: Hash slots of a source. At 10 ** 10 documents of one source a slot has 2.4 million rows.
 SLOTS = 4096
 
@@ -30,7 +32,7 @@ def n_words(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, *, cycle: Sequence[float] = CYCLE, budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row per source of ``sizes`` (src, size): weight, source_size and target.
+    """One row per source of ``sizes`` (src, size): rank, weight, source_size and target.
 
     Sources ranked by code point (null last) weigh ``cycle``, repeating.  They share ``budget`` times all
     words by weight; no target exceeds ``most`` times its source's size, and what is cut off is shared again by weight.
@@ -49,7 +51,7 @@ def source_targets(sizes: DataFrame, *, cycle: Sequence[float] = CYCLE, budget:
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     leveled = ranked.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
     level = F.min_by("level", F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), F.col("rank")))).over(every)
-    return leveled.withColumn("target", F.coalesce(F.least("cap", level * F.col("weight")), "cap")).select("src", "weight", "source_size", "target")
+    return leveled.withColumn("target", F.coalesce(F.least("cap", level * F.col("weight")), "cap")).select("src", "rank", "weight", "source_size", "target")
 
 
 def _area(at: int, knots: Sequence[tuple[float, float]]) -> float:
@@ -85,6 +87,7 @@ def mix_sources(
     docs: DataFrame,
     *,
     keep: list[str] | None = None,
+    curriculum: Sequence[Sequence[tuple[float, float]]] = (((0.0, 1.0), (1.0, 1.0)),),
     schedules: dict[str | None, Sequence[tuple[float, float]]] | None = None,
     cycle: Sequence[float] = CYCLE,
     budget: float = 1.5,
@@ -99,7 +102,8 @@ def mix_sources(
 
     The source is read in rounds over its hashed order until its target is reached; the document in which
     it is reached is read up to there, so a source's taken words are its target rounded down.
-    schedules: weight over training time by source, constant where not given; its integral shapes the order, not the target.
+    curriculum: weight over training time by rank of the source, repeating; constant by default.  schedules: the same by source, for those given.
+    Their integrals shape the order, not the target.
 
     Null text counts no words; null source is a source of its own, weighed last.  Rows that repeat are rows of their own; ties
     in the hashed order are broken by doc_id and size and rows that tie there too are alike.  An empty table gives an empty
@@ -122,7 +126,7 @@ def mix_sources(
     rounds = [F.greatest(F.lit(0.0), F.least(F.col("size"), F.floor("target") - F.col("offset") - r * F.col("source_size"))) for r in range(int(-(-most // 1)))]
     taken = sum(rounds[1:], rounds[0]).cast("long")
     copies = sum([(x > 0).cast("int") for x in rounds[1:]], (rounds[0] > 0).cast("int"))
-    when = position(F.col("offset"), F.col("target"))
+    when = F.coalesce(*[F.when(F.col("rank") % len(curriculum) == i, position(F.col("offset"), F.col("target"), knots)) for i, knots in enumerate(curriculum)])
     for name, knots in (schedules or {}).items():
         when = F.when(F.col("src").eqNullSafe(F.lit(name)), position(F.col("offset"), F.col("target"), knots)).otherwise(when)
     mixed = placed.withColumn("taken", taken).withColumn("copies", copies).withColumn("position", F.when(F.col("taken") > 0, when))

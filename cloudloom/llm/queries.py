@@ -20,7 +20,7 @@ def _fold(k: int) -> Column:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), keep=["doc_id"], curriculum=mixing.CURRICULUM)
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken", "position")
 
 

@@ -73,6 +73,30 @@ def test_mix_order_follows_a_schedule(spark):
     assert half.count("early") == 150 and half.count("late") == 50  # three quarters of a falling ramp come first
 
 
+def test_mix_positions_invert_the_curriculum(spark):
+    """Of the whole query: each document is read when its source's demand, summed up step by step, has reached the words before it."""
+    import numpy as np
+
+    assert all(len({w for _, w in knots}) > 1 for knots in mixing.CURRICULUM)
+    got = queries.op1_mix_sources(spark, SF).toPandas().dropna(subset=["position"])
+    source = got.doc_id.map({d: s for d, _, s, _ in table()})
+    names = sorted({s for _, _, s, _ in table() if s is not None}, key=lambda s: s.encode())
+    time = np.linspace(0, 1, 200_001)
+    for rank, name in enumerate(names):
+        own = got[source == name].sort_values("position")
+        weight = np.interp(time, *zip(*mixing.CURRICULUM[rank % len(mixing.CURRICULUM)]))
+        demand = np.concatenate(([0.0], np.cumsum((weight[1:] + weight[:-1]) / 2)))
+        before = (own["size"].cumsum() - own["size"]).to_numpy()
+        want = np.interp(before / own["target"].to_numpy(), demand / demand[-1], time)
+        assert own["position"].to_numpy() == pytest.approx(want, abs=1e-6)
+    assert not np.allclose(got["position"], mixed_flat(spark, got.doc_id))
+
+
+def mixed_flat(spark, ids):
+    flat = mixing.mix_sources(spark.read.parquet(f"{SF}/documents.parquet")).select("row.doc_id", "position").toPandas()
+    return ids.map(dict(zip(flat["doc_id"], flat["position"])))
+
+
 def test_mix_odd(odd, spark):
     got = mixing.mix_sources(odd, slots=3)
     assert got.count() == len(ODD)
