@@ -187,6 +187,27 @@ def test_pipeline_against_plain_stages(spark):
     assert at == sorted(at)
 
 
+def test_language_stage_rejects_other_languages_and_junk(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rnd = random.Random(5)
+    junk = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(n)) for n in (30, 300)]
+    other = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+    ]
+    long = [r["text"].split() for r in docs.where("text is not null and lang = 'en'").orderBy("doc_id").limit(40).collect()]
+    clean = [" ".join(w[i : i + n]) for w in long for i, n in ((0, 5), (3, 12)) if len(w) >= 20]
+    assert clean
+    more = [(10**9 + i, t, None, "s", len(t)) for i, t in enumerate([*junk, *other, *clean])]
+    added = spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long")
+    columns = added.columns
+    got = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.select(columns).unionByName(added), SF).collect()}
+    bad = len(junk) + len(other)
+    assert not got & {10**9 + i for i in range(bad)}
+    assert {10**9 + bad + i for i in range(len(clean))} <= got
+
+
 def test_pipeline_stages_take_empty_and_odd_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     odd = spark.createDataFrame([(1, "the cat and the dog", "en", "s", 19), (1, "the cat and the dog", "en", "s", 19), (2, None, None, None, None), (None, "", "en", "s", 0), (3, "le chat et le chien", None, "t", 19)], schema)
