@@ -98,7 +98,8 @@ def mix_sources(
 
     docs needs doc_id, text and source; its columns ``keep`` (all by default) are in the struct ``row``.  Added: size (words),
     source_size, target (words the mix asks of the source), taken (words it takes of the row, repeats counted),
-    copies (times the row is begun), position (training time of its first reading; null if never read).
+    copies (times the row is begun), position (training time of its first reading; null if never read),
+    positions (training times of all its readings, in order).
 
     The source is read in rounds over its hashed order until its target is reached; the document in which
     it is reached is read up to there, so a source's taken words are its target rounded down.
@@ -126,9 +127,14 @@ def mix_sources(
     rounds = [F.greatest(F.lit(0.0), F.least(F.col("size"), F.floor("target") - F.col("offset") - r * F.col("source_size"))) for r in range(int(-(-most // 1)))]
     taken = sum(rounds[1:], rounds[0]).cast("long")
     copies = sum([(x > 0).cast("int") for x in rounds[1:]], (rounds[0] > 0).cast("int"))
-    when = F.coalesce(*[F.when(F.col("rank") % len(curriculum) == i, position(F.col("offset"), F.col("target"), knots)) for i, knots in enumerate(curriculum)])
-    for name, knots in (schedules or {}).items():
-        when = F.when(F.col("src").eqNullSafe(F.lit(name)), position(F.col("offset"), F.col("target"), knots)).otherwise(when)
-    mixed = placed.withColumn("taken", taken).withColumn("copies", copies).withColumn("position", F.when(F.col("taken") > 0, when))
-    mixed = mixed.select("row", "size", "source_size", "target", "taken", "copies", "position", "draw")
+
+    def when(offset: Column) -> Column:
+        out = F.coalesce(*[F.when(F.col("rank") % len(curriculum) == i, position(offset, F.col("target"), knots)) for i, knots in enumerate(curriculum)])
+        for name, knots in (schedules or {}).items():
+            out = F.when(F.col("src").eqNullSafe(F.lit(name)), position(offset, F.col("target"), knots)).otherwise(out)
+        return out
+
+    readings = F.array_compact(F.array(*[F.when(x > 0, when(F.col("offset") + r * F.col("source_size"))) for r, x in enumerate(rounds)]))
+    mixed = placed.withColumn("taken", taken).withColumn("copies", copies).withColumn("position", F.when(F.col("taken") > 0, when(F.col("offset")))).withColumn("positions", readings)
+    mixed = mixed.select("row", "size", "source_size", "target", "taken", "copies", "position", "positions", "draw")
     return mixed.repartitionByRange("position", "draw").sortWithinPartitions("position", "draw").drop("draw")

@@ -92,6 +92,16 @@ def test_mix_positions_invert_the_curriculum(spark):
     assert not np.allclose(got["position"], mixed_flat(spark, got.doc_id))
 
 
+def test_mix_places_every_reading(spark):
+    """A source read twice has as many readings in the second half of a flat schedule as in the first; the last round goes on where the first ends."""
+    docs = spark.createDataFrame([(i, "w " * 10, "a" if i < 40 else "b") for i in range(400)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, curriculum=mixing.CURRICULUM, slots=8, schedules={"a": ((0.0, 1.0), (1.0, 1.0))}).collect()
+    assert all(len(r["positions"]) == r["copies"] and r["positions"] == sorted(r["positions"]) and (r["position"] is None or r["positions"][0] == r["position"]) for r in got)
+    of_a = [r["positions"] for r in got if r["row"]["source"] == "a"]
+    assert all(len(x) == 2 and x[1] - x[0] == pytest.approx(0.5) for x in of_a)
+    assert sorted(p for x in of_a for p in x) == pytest.approx([i / 80 for i in range(80)])
+
+
 def mixed_flat(spark, ids):
     flat = mixing.mix_sources(spark.read.parquet(f"{SF}/documents.parquet")).select("row.doc_id", "position").toPandas()
     return ids.map(dict(zip(flat["doc_id"], flat["position"])))
