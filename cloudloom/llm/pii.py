@@ -1,4 +1,7 @@
-"""Personal data: regular expressions propose, checksums confirm, context adjusts (DataFrame functions only).
+"""Personal data and secrets: regular expressions propose, checksums confirm, context adjusts (DataFrame functions only).
+
+A span's score is its kind's prior, raised by a context word shortly before it.  Kinds whose pattern and check alone say little ask for
+a least score: a long run of letters and digits is a secret only where a word such as ``token`` or ``password`` stands before it.
 
 Spark has no function that tells where a pattern matches.  Splitting at the pattern gives the text between the
 matches, so running sums of the lengths of the pieces and of the matches give the places, in code points.
@@ -21,6 +24,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])"
+SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}+"
 
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
@@ -62,6 +66,11 @@ def _phone_ok(m: Column) -> Column:
     return F.length(_digits(m)).between(9, 15)
 
 
+def _mixed(m: Column) -> Column:
+    """Letters and digits, of ten different characters or more: what a drawn key has and a word, a number or a rule of dashes lacks."""
+    return m.rlike("[A-Za-z]") & m.rlike("[0-9]") & (F.size(F.array_remove(F.array_distinct(F.split(m, "")), "")) >= 10)
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -71,6 +80,7 @@ class Kind:
     base: bool
     prior: float
     context: str
+    least: float = 0.0
 
 
 #: Context words within CONTEXT characters before a span raise its score by CONTEXT_GAIN.
@@ -80,7 +90,8 @@ KINDS = (
     Kind("ip", IP, r"[0-9]\.[0-9]", _ip_ok, True, 0.5, r"(?i)\bip\b|address|server|host"),
     Kind("card", CARD, "[0-9][ -]?[0-9]", _card_ok, True, 0.6, "(?i)card|visa|credit|payment"),
     Kind("phone", PHONE, r"\+[0-9]", _phone_ok, True, 0.5, "(?i)phone|tel|call|mobile|fax"),
-    Kind("iban", IBAN, "[A-Z]{2}[0-9]{2}", mod97, False, 0.8, "(?i)iban|account|bank"),
+    Kind("iban", IBAN, "[A-Z]{2}[0-9]{2}", mod97, False, 0.7, "(?i)iban|account|bank"),
+    Kind("secret", SECRET, "[A-Za-z0-9_+/-]{20}", _mixed, False, 0.4, "(?i)token|secret|passw|api.?key|access.?key|private.?key|credential|bearer|auth", 0.6),
 )
 
 _EMPTY = "cast(array() as array<struct<start:int,rank:int,kind:string,end:int,found:string,score:double>>)"
@@ -128,6 +139,8 @@ def _spans(text: Column, rank: int, kind: Kind) -> Column:
     gaps = F.transform(F.split(text, kind.pattern, -1), lambda p: F.length(p))
     pairs = F.zip_with(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), gaps, lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
     found = _let(F.filter(pairs, lambda p: p["m"].isNotNull()), lambda pairs: F.when(F.size(pairs) > 0, place(pairs)).otherwise(F.expr(_EMPTY)))
+    if kind.least > 0:
+        found = F.filter(found, lambda s: s["score"] >= kind.least)
     return F.when(text.rlike(kind.needs), found).otherwise(F.expr(_EMPTY))
 
 
@@ -135,7 +148,8 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """Each row of ``docs`` as the struct ``row``, and ``spans``: its personal data in order of place and kind.
 
     docs needs text.  A span is (start, rank, kind, end, found, score): code points, the end exclusive; the score is the kind's
-    prior, raised by a context word shortly before.  Matches of a kind do not overlap; failing ones are dropped without another try.
+    prior, raised by CONTEXT_GAIN by a context word within the CONTEXT characters before it.  Matches of a kind do not overlap; failing ones are
+    dropped without another try, and so are those below the least score of their kind (the base kinds have none).
 
     Null and empty texts have no spans.  Rows that repeat are rows of their own.  An empty table gives an empty table.
     """
@@ -147,3 +161,8 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def scores(spans: Column) -> Column:
+    """The scores of ``spans`` in hundredths, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.round(100 * s["score"]).cast("int").cast("string")), ",")

@@ -26,9 +26,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    profiles = langid.learn_profiles(docs.where(_fold(4) != 2))
+    held_out = F.coalesce(_fold(4) == 2, F.lit(False))
+    profiles = langid.learn_profiles(docs.where(~held_out))
     found = langid.identify(docs, profiles, keep=["doc_id"])
-    return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", F.coalesce(_fold(4) == 2, F.lit(False)))
+    return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", held_out)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [k for k in pii.KINDS if k.base]
     of_base = F.filter("spans", lambda s: s["kind"].isin([k.name for k in base]))
     counts = [F.size(F.filter("spans", _is(k.name))).cast("long").alias(f"n_{k.name}") for k in base]
-    return found.select("row.doc_id", *counts, F.sha2(pii.listed(of_base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(pii.listed(of_base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), pii.scores(F.col("spans")).alias("scores"))
 
 
 def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,27 +130,29 @@ _SUM = "coalesce(list_sum(list_transform(range(1, length({d}) + 1), lambda j: CA
 _CODES = "list_transform(range(1, length({s}) + 1), lambda j: CASE WHEN substr({s}, j, 1) BETWEEN '0' AND '9' THEN substr({s}, j, 1)::int ELSE ord(substr({s}, j, 1)) - 55 END)"
 
 
-def _kind_sql(rank: int, name: str, pattern: str, valid: str) -> str:
-    """The valid matches of a kind with their places: the pieces between matches and the matches before, summed."""
+def _kind_sql(rank: int, name: str, pattern: str, valid: str, prior: int, context: str, least: int = 0) -> str:
+    """The valid matches of a kind with their places: the pieces between matches and the matches before, summed; and their scores in hundredths."""
     return f"""
-    SELECT doc_id, {rank} AS rank, '{name}' AS kind, s, s + length(m) AS e FROM (
-      SELECT doc_id, ms[i] AS m, (list_sum(list_transform(ps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda x: length(x))), 0))::bigint AS s
-      FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM documents WHERE regexp_matches(text, '{pattern}')))
-    ) WHERE {valid}"""
+    SELECT doc_id, {rank} AS rank, '{name}' AS kind, s, s + length(m) AS e, score FROM (
+      SELECT doc_id, m, s, {prior} + CASE WHEN regexp_matches(substr(text, greatest(1, s + 1 - 40), least(40, s)), '{context}') THEN 30 ELSE 0 END AS score FROM (
+        SELECT doc_id, text, ms[i] AS m, (list_sum(list_transform(ps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda x: length(x))), 0))::bigint AS s
+        FROM (SELECT doc_id, text, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM documents WHERE regexp_matches(text, '{pattern}')))
+      ) WHERE {valid}) WHERE score >= {least}"""
 
 
 _MOVED = "(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4))"
 _OP8 = "WITH spans AS (" + " UNION ALL ".join(
     (
-        _kind_sql(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-        _kind_sql(1, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: TRY_CAST(x AS hugeint))) <= 255"),
-        _kind_sql(2, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_SUM.format(d=_DIGITS)} % 10 = 0"),
-        _kind_sql(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
-        _kind_sql(4, "iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", f"list_reduce(list_prepend(0, {_CODES.format(s=_MOVED)}), lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END) = 1"),
+        _kind_sql(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 70, "(?i)mail|contact|write"),
+        _kind_sql(1, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: TRY_CAST(x AS hugeint))) <= 255", 50, r"(?i)\bip\b|address|server|host"),
+        _kind_sql(2, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_SUM.format(d=_DIGITS)} % 10 = 0", 60, "(?i)card|visa|credit|payment"),
+        _kind_sql(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15", 50, "(?i)phone|tel|call|mobile|fax"),
+        _kind_sql(4, "iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", f"list_reduce(list_prepend(0, {_CODES.format(s=_MOVED)}), lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END) = 1", 70, "(?i)iban|account|bank"),
+        _kind_sql(5, "secret", "[A-Za-z0-9_+/-]{20,}={0,2}", "regexp_matches(m, '[A-Za-z]') AND regexp_matches(m, '[0-9]') AND len(list_distinct(list_filter(string_split(m, ''), lambda x: x <> ''))) >= 10", 40, "(?i)token|secret|passw|api.?key|access.?key|private.?key|credential|bearer|auth", 60),
     )
 ) + """),
 told AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
-  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM spans GROUP BY 1)
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN told USING (doc_id)"""
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, string_agg(score::varchar, ',' ORDER BY s, rank) AS scores FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM documents LEFT JOIN told USING (doc_id)"""
 
 ORACLE_SQL: dict[str, str] = {"op3_decontaminate": _OP3, "op4_line_dedup": _OP4, "op6_substring_dedup": _OP6, "op8_pii": _OP8}
