@@ -6,24 +6,31 @@ every v, so some mask keeps none of them: two fingerprints within the radius agr
 2 ** (radius + 1) - 1 masks, whatever the data.  Each mask is a hash table; fingerprints that agree under it are compared.
 
 Equal fingerprints are one row before any table is built, so exact copies cost nothing.  A bucket above ``bucket``
-fingerprints is split again: pairs within the radius also agree on one of radius + 1 parts of the bits that the mask dropped, so the
-bucket goes to the radius + 1 tables keyed by mask and part.  A bucket gives a spanning forest of its links, never its pairs.
+fingerprints is split again: pairs within the radius also agree on one of radius + 1 parts of the bits that are still free, so the
+bucket goes to the radius + 1 tables keyed by mask and part, and so on until all buckets are small: a bucket that agrees on all but b bits has 2 ** b
+fingerprints at most, so this ends.  A bucket gives a spanning forest of its links, never its pairs.
+
+``near_duplicates`` links fingerprints.  ``near_texts`` links texts whose sets of shingles have a similarity (Jaccard) of 0.8 or more.  Such texts differ in some
+ten bits of a fingerprint, which would take 2 ** 15 tables to cover, so there the same masks also cover the lanes of a minwise sketch, of which such
+texts differ in few; what collides in a table is compared by its shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudloom.llm import _words
-from cloudloom.llm._graph import components, shared
+from cloudloom.llm._graph import components, hot_join, shared
 from cloudloom.llm._rows import packed, texts, tidied
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -42,10 +49,9 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     spans = zip(begins[:n].tolist(), ends[len(words) - n :].tolist())
     digest = xxhash.xxh64_intdigest
     total = np.zeros(BITS, np.int64)
-    hashes = [digest(line[a:b], SEED) for a, b in spans]
-    for i in range(0, n, 65536):
-        bits = np.unpackbits(np.array(hashes[i : i + 65536], np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(0, dtype=np.int64)
+    for _ in range(0, n, 65536):  # of a long text, one slice of hashes at a time
+        hashes = np.array([digest(line[a:b], SEED) for a, b in islice(spans, 65536)], np.uint64)
+        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     bits = (2 * total > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
@@ -67,8 +73,9 @@ def _split(text: bytes) -> list[bytes]:
     return text.split()
 
 
+@cache
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
-    """The covering masks: place i has vector 1 + i mod (2 ** (radius + 1) - 1), so that all vectors are used evenly."""
+    """The covering masks (not to be changed): place i has vector 1 + i mod (2 ** (radius + 1) - 1), so that all vectors are used evenly."""
     vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(bits)]
     return [sum(1 << i for i, a in enumerate(vectors) if (a & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
 
@@ -111,18 +118,40 @@ def _bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_links(fps: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links among the distinct fingerprints ``fps`` (fp) that connect all pairs within the radius."""
-    tables = [(v, _signed(m)) for v, m in enumerate(masks(radius))]
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in tables])).alias("k")).select("fp", "k.*")
-    sizes = keyed.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    met = shared(keyed.join(sizes, ["v", "key"]))
-    small = met.where(F.col("n") <= bucket).select("v", "key", "fp")
-    large = met.where(F.col("n") > bucket)
-    ladder = F.array(*[F.array(*[F.lit(_signed(p)) for p in parts(m, radius)]) for m in masks(radius)])
-    finer = large.select((F.col("v") * (radius + 1) + 1000).alias("v0"), F.posexplode(ladder[F.col("v")]).alias("p", "mask"), "fp")
-    finer = finer.select((F.col("v0") + F.col("p")).cast("int").alias("v"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    groups = small.unionByName(finer).groupBy("v", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return groups.select("fps").mapInPandas(_bucket_links, "a long, b long").distinct()
+    """(a, b): links among the distinct fingerprints ``fps`` (fp) that connect all pairs within the radius.
+
+    fps has no nulls and no repeated rows.  An empty table gives no links.
+    """
+    tables = F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in masks(radius)])
+    keyed, ladder, found = fps.select("fp", F.explode(tables).alias("k")).select("fp", "k.*"), masks(radius), None
+    while True:
+        sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        met = shared(keyed.join(sizes, ["mask", "key"]))
+        small = met.where(F.col("n") <= bucket).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))  # of bucket fingerprints at most
+        own = small.select("fps").mapInPandas(_bucket_links, "a long, b long")
+        found = own if found is None else found.unionByName(own)
+        large = met.where(F.col("n") > bucket)
+        if large.isEmpty():
+            return found.distinct()
+        # The masks of the next level: four times as many a level, of those with a large bucket only.
+        used = {r["mask"] for r in large.select("mask").distinct().collect()}
+        finer = [(m, p) for m in ladder if _signed(m) in used for p in dict.fromkeys(parts(m, radius)) if p != m]
+        ladder = list(dict.fromkeys(p for _, p in finer))
+        next_ = fps.sparkSession.createDataFrame([(_signed(m), _signed(p)) for m, p in finer], "mask long, finer long")
+        keyed = large.join(F.broadcast(next_), "mask").select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key")).distinct()
+
+
+def _place():
+    return F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), "rid")
+
+
+def _classes(nodes: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """(key_, least): of each node (key, first) the least ``first`` of its component."""
+    found = components(links)
+    grouped = found.join(nodes, found["node"] == nodes[key]).select(key, "component", "first")
+    least = grouped.groupBy("component").agg(F.min("first").alias("least"))
+    linked = grouped.join(least, "component").select(F.col(key).alias("linked_"), "least")
+    return nodes.join(linked, F.col(key) == F.col("linked_"), "left").select(F.col(key).alias("key_"), F.coalesce("least", "first").alias("least"))
 
 
 def near_duplicates(docs: DataFrame, *, keep: list[str] | None = None, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -138,11 +167,142 @@ def near_duplicates(docs: DataFrame, *, keep: list[str] | None = None, radius: i
     """
     rows = shared(with_fingerprints(docs, keep).withColumn("rid", F.monotonically_increasing_id()))
     # One row per different fingerprint, with partial minima before the shuffle: groups of copies shrink where they are read.
-    place = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), "rid")
-    distinct = shared(rows.groupBy("fp").agg(F.min(place).alias("first")))
-    found = components(near_links(distinct.select("fp"), radius=radius, bucket=bucket))
-    grouped = found.join(distinct, found["node"] == distinct["fp"]).select("fp", "component", "first")
-    least = grouped.groupBy("component").agg(F.min("first").alias("least"))
-    linked = grouped.join(least, "component").select(F.col("fp").alias("linked_fp"), "least")
-    ids = distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("fp_"), F.coalesce("least", "first").alias("least"))
-    return rows.join(shared(ids), F.col("fp") == F.col("fp_")).select("row", "fp", F.col("least.doc_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("leader"))
+    distinct = shared(rows.groupBy("fp").agg(F.min(_place()).alias("first")))
+    ids = shared(_classes(distinct, near_links(distinct.select("fp"), radius=radius, bucket=bucket), "fp"))
+    both = hot_join(rows, ids.withColumnRenamed("key_", "fp"), ["fp"])
+    return both.select("row", "fp", F.col("least.doc_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("leader"))
+
+
+#: Words of a shingle and similarity of near texts.
+WORDS, SIMILARITY = 5, 0.8
+#: Lanes of a sketch and the differing ones that its masks cover; sketches of a text.
+LANES, LANE_RADIUS, SKETCHES = 7, 2, 2
+#: Multipliers that make a lane's hash of a shingle's.
+_ODD = np.random.default_rng(7).integers(1, 1 << 63, LANES * SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _keyed(table: int, parts: list[np.ndarray]) -> np.ndarray:
+    """One key of the parts, different for each table."""
+    key = np.full(len(parts[0]), np.uint64(table))
+    for x in parts:
+        key = _words.mix(key * _ODD[0] + x)
+    return key
+
+
+def _bit_sums(h: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(texts, BITS): how often each bit is set in each text's hashes.  Eight counters of a byte are summed in one number, over 255 hashes at most."""
+    runs = -(-sizes // 255)
+    text = np.repeat(np.arange(len(begin)), runs)
+    run = begin[text] + 255 * (np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs))
+    out = np.zeros((len(begin), 8, 8), np.int64)
+    for bit in range(8):
+        counters = np.add.reduceat(h >> np.uint64(bit) & np.uint64(0x0101010101010101), run).view(np.uint8).reshape(-1, 8)
+        out[:, :, bit] = np.add.reduceat(counters, np.cumsum(runs) - runs, axis=0, dtype=np.int64)
+    return out.reshape(-1, BITS)
+
+
+def table_keys(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """(texts, tables): the keys of some texts, whose shingle hashes begin at ``begin`` in h: of their SimHash under its masks, of their sketches under theirs."""
+    sizes = np.diff(np.concatenate((begin, [len(h)])))
+    fp = np.packbits((2 * _bit_sums(h, begin, sizes) > sizes[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)[:, 0]
+    lanes = [np.minimum.reduceat(_words.mix(h * odd), begin) for odd in _ODD]
+    keys = [_keyed(v, [fp & np.uint64(m)]) for v, m in enumerate(masks())]
+    for s in range(SKETCHES):
+        own = lanes[LANES * s : LANES * (s + 1)]
+        keys += [_keyed(64 * (s + 1) + v, [x for i, x in enumerate(own) if m >> i & 1]) for v, m in enumerate(masks(LANE_RADIUS, LANES))]
+    return np.stack(keys, axis=1)
+
+
+#: A text without words has one shingle, which no other has.
+_NOTHING = np.array([0], np.uint64)
+
+
+def _sketched(words: int):
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each, keys, digests, shingles = _words.to_bytes(texts(batch)), [], [], []
+            for g in _words.groups(each):
+                own = _words.split(each[g], _words.NOT_SPACE, lower=True)
+                h = own.hashes()
+                grams = _words.grams(h, words) if len(h) else h
+                sets = []
+                for a, b in zip(own.first[:-1].tolist(), own.first[1:].tolist()):
+                    short = np.array([xxhash.xxh64_intdigest(h[a:b].tobytes())], np.uint64) if b > a else _NOTHING
+                    sets.append(grams[a : b - words + 1] if b - a >= words else short)
+                sizes = np.array([len(x) for x in sets])
+                flat = np.concatenate(sets)
+                keys.append(table_keys(flat, np.cumsum(sizes) - sizes).view(np.int64))
+                digests += [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                distinct = np.sort(np.repeat(np.arange(len(sets), dtype=np.uint64), sizes) << np.uint64(32) | flat >> np.uint64(32))
+                distinct = distinct[np.concatenate(([True], distinct[1:] != distinct[:-1]))]
+                ends = np.searchsorted(distinct, np.arange(1, len(sets) + 1, dtype=np.uint64) << np.uint64(32))
+                shingles.append((distinct.astype(np.uint32).view(np.int32), np.diff(ends, prepend=0)))
+            if not each:
+                continue
+            keys = np.concatenate(keys)
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in shingles]))))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([x for x, _ in shingles])))
+            table = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), table, pa.array(digests, pa.binary()), lists], ["row", "keys", "digest", "shingles"])
+
+    return sketched
+
+
+def _similar(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links among the nodes of ``open_`` (rid, key), whose shingles are in ``sets`` (rid, shingles)."""
+    found = None
+    while True:
+        n = F.count(F.lit(1))
+        buckets = shared(open_.groupBy("key").agg(F.min("rid").alias("lead"), n.alias("n")).where(F.col("n") > 1))
+        if found is not None and buckets.isEmpty():
+            return found
+        pairs = shared(hot_join(open_, buckets.drop("n"), ["key"]).where(F.col("rid") != F.col("lead")))
+        each = pairs.select("lead", "rid").distinct()
+        wanted = each.select("rid").unionByName(each.select(F.col("lead").alias("rid"))).distinct()
+        own = shared(sets.join(wanted, "rid", "left_semi"))
+        one = hot_join(each, own.withColumnRenamed("shingles", "x"), ["rid"], hot=64)
+        both = hot_join(one, own.select(F.col("rid").alias("lead"), F.col("shingles").alias("y")), ["lead"], hot=64)
+        common = F.size(F.array_intersect("x", "y"))
+        linked = shared(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("lead", "rid"))
+        links = linked.select(F.col("lead").alias("a"), F.col("rid").alias("b"))
+        found = links if found is None else found.unionByName(links)
+        open_ = shared(pairs.join(linked, ["lead", "rid"], "left_anti").select("rid", "key"))
+        if open_.isEmpty():
+            return found
+
+
+def near_texts(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text) as the struct ``row``, with component_id and leader.
+
+    Two texts are linked if they collide in a table and their sets of ``words``-word shingles (A-Z lower-cased; of a shorter text, the whole) have a Jaccard
+    similarity of ``similarity`` or more, by 32 bits of each shingle's hash.  component_id is the smallest doc_id of the rows reachable; one row of each component
+    is its leader, with that doc_id.  Texts with equal sets are one node.  In each bucket all nodes are compared with its first; those that are not
+    similar to it are a bucket of their own in the next round, until none is left: a bucket costs its size for each group of similar
+    texts in it, not its pairs.  Between rounds only (node, key) pairs remain; the texts are read for the sketches and for the result, where they are shuffled once.
+
+    Texts without words, null too, are linked with each other.  Null ids count last.  Rows that repeat are linked, and one of them leads.  An empty table gives an
+    empty table.
+    """
+    text = F.col("text")
+    name = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"))
+    source = docs.select(name.alias("row"), text.alias("t"))
+    schema = T.StructType([source.schema["row"], *T._parse_datatype_string("keys array<long>, digest binary, shingles array<int>").fields])
+    nodes = shared(source.mapInArrow(tidied(_sketched(words)), schema).select("row.*", "keys", "digest", "shingles").withColumn("rid", F.monotonically_increasing_id()))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2", "rid")
+    distinct = shared(nodes.groupBy("digest").agg(F.min(place).alias("first")).withColumn("rid", F.col("first.rid")))
+    open_ = nodes.select("rid", "keys").join(distinct.select("rid"), "rid", "left_semi").select("rid", F.explode("keys").alias("key"))
+    ids = _classes(distinct.select("rid", "first"), _similar(open_, nodes.select("rid", "shingles"), similarity), "rid")
+    # A row for each name; copies of a text with other ids meet their node by the digest, of which there is one row in ``distinct``.
+    node_of = hot_join(nodes.select("doc_id", "t1", "t2", "digest"), distinct.select("digest", F.col("rid").alias("node")), ["digest"])
+    least = hot_join(node_of, ids.withColumnRenamed("key_", "node"), ["node"])
+    least = shared(least.groupBy("doc_id", "t1", "t2").agg(F.first("least").alias("least"), F.count(F.lit(1)).alias("times")))
+    least = least.select(F.col("doc_id").alias("doc_id_"), F.col("t1").alias("t1_"), F.col("t2").alias("t2_"), "least", "times")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", name["t1"].alias("t1"), name["t2"].alias("t2"))
+    met = rows.join(least, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("t1") == F.col("t1_")) & (F.col("t2") == F.col("t2_")))
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("t1") == F.col("least.t1")) & (F.col("t2") == F.col("least.t2"))
+    id_ = F.col("least.doc_id").alias("component_id")
+    alone = met.where(F.col("times") == 1).select("row", id_, first.alias("leader"))
+    if least.where(F.col("times") > 1).isEmpty():
+        return alone
+    number = F.row_number().over(Window.partitionBy("doc_id", "t1", "t2").orderBy("t1"))
+    return alone.unionByName(met.where(F.col("times") > 1).select("row", id_, (first & (number == 1)).alias("leader")))
