@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudloom.llm._graph import shared
+
 #: Words are runs of anything but space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by rank of the source name, repeating.
@@ -114,9 +116,11 @@ def mix_sources(
     # A name that is never null, so that the join and the windows below share one partitioning.
     name = F.when(source.isNull(), "-").otherwise(F.concat(F.lit("="), source))
     rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("doc_id").alias("id"), source.alias("src"), name.alias("name"), n_words(F.col("text")).alias("size"))
+    if keep is not None:  # narrow rows, whose words are counted once
+        rows = shared(rows)
     spread = rows.withColumn("draw", F.xxhash64("id")).withColumn("slot", F.pmod("draw", F.lit(slots)))
     # Source and slot totals: partial sums in the map tasks, a row for each source and slot after it.
-    slot_sizes = spread.groupBy("src", "name", "slot").agg(F.sum("size").alias("size"))
+    slot_sizes = shared(spread.groupBy("src", "name", "slot").agg(F.sum("size").alias("size")))
     targets = source_targets(slot_sizes.select("src", "size"), cycle=cycle, budget=budget, most=most)
     begin = F.coalesce(F.sum("size").over(Window.partitionBy("name").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slot_begin = slot_sizes.select("src", "name", "slot", begin.alias("slot_begin"))

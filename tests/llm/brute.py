@@ -121,6 +121,28 @@ def near(docs):
     return [(d, f"{f:016x}", label[f]) for d, f in fps]
 
 
+def similar(docs, n=5, least=0.8):
+    """docs: [(id, text)] -> {id: least id of its component of texts whose sets of n-word shingles have this Jaccard similarity}."""
+    sets = {}
+    for d, t in docs:
+        w = WORD.findall(low(t))
+        sets[d] = frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
+    label = {d: d for d in sets}
+
+    def root(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    return {d: root(d) for d in ids}
+
+
 def luhn(d):
     s = [int(x) for x in reversed(d)]
     return (sum(s[::2]) + sum(sum(divmod(2 * x, 10)) for x in s[1::2])) % 10 == 0

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import brute
@@ -181,15 +182,75 @@ def test_lines(spark):
 
 
 def test_lines_odd(odd, spark):
-    got = linededup.dedup_lines(odd, least_pages=2, salts=2).select("row.doc_id", "kept_text", "n_lines", "n_dropped").collect()
+    got = linededup.dedup_lines(odd, least_pages=2, sent_bytes=0, hot=4).select("row.doc_id", "kept_text", "n_lines", "n_dropped").collect()
     assert sorted(map(tuple, got), key=repr)[:2] == [(1, "", 1, 1)] * 2 or (1, "", 1, 1) in map(tuple, got)
     assert (2, None, 0, 0) in map(tuple, got) and (3, "", 1, 0) in map(tuple, got)
     assert linededup.dedup_lines(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent_bytes", [linededup.SENT_BYTES, 0])
+def test_lines_however_they_are_joined(spark, sent_bytes):
+    """Sent to every task or joined by parts; pages with many lines that repeat, of which many are boilerplate."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    docs = [(i, "\n".join(rng.choice(["", " ", f"line {rng.randrange(40)}", f" own {rng.random()} "]) for _ in range(rng.choice([0, 3, 400]))), rng.choice(["a", "a", "a", "b", None])) for i in range(80)]
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string, source string"), sent_bytes=sent_bytes, hot=2)
+    found = rows(got.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("s")), "doc_id", "n_lines", "n_dropped", "s")
+    assert found == sorted(brute.lines(docs), key=repr) and sum(r[2] for r in found) > 1000
+
+
+def test_lines_of_a_page_take_linear_time(spark):
+    """A plan that compares all pairs of a page's lines would take minutes here."""
+    page = "\n".join(f"line {i}" for i in range(200_000))
+    df = spark.createDataFrame([(i, page, "h") for i in range(3)], "doc_id long, text string, source string")
+    began = time.time()
+    assert linededup.dedup_lines(df).agg({"n_dropped": "sum"}).first()[0] == 600_000
+    assert time.time() - began < 60
+
+
 # near duplicates
 
 
+def test_near_texts_find_what_is_similar(spark):
+    """Recall over pairs of 0.8 or more, by groups of similarity; no link below it; and the sketches' counting."""
+    import numpy as np
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(3000)]
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    docs, similar = [], []
+    for i in range(0, 600, 2):
+        a = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        b = list(a)
+        for _ in range(rng.randint(1, max(1, len(a) // 30))):
+            b[rng.randrange(len(b))] = rng.choice(words)
+        a, b = " ".join(a), " ".join(b).upper()
+        docs += [(i, a), (i + 1, b)]
+        similar.append(len(sets(a) & sets(b.lower())) / len(sets(a) | sets(b.lower())))
+    docs += [(700, "one two"), (701, "two one"), (702, "One  two"), (703, None), (704, " "), (None, "one two")]
+    got = {r["doc_id"]: (r["component_id"], r["leader"]) for r in simhash.near_texts(spark.createDataFrame(docs, "doc_id long, text string")).select("row.doc_id", "component_id", "leader").collect()}
+    met = [got[2 * k + 1][0] == 2 * k for k in range(len(similar))]
+    assert 100 < sum(j >= 0.8 for j in similar) < 280
+    assert not any(m for m, j in zip(met, similar) if j < 0.8)
+    assert sum(m for m, j in zip(met, similar) if 0.8 <= j < 0.85) > 0.9 * sum(0.8 <= j < 0.85 for j in similar)
+    assert sum(m for m, j in zip(met, similar) if j >= 0.8) > 0.95 * sum(j >= 0.8 for j in similar)
+    assert [got[d] for d in (700, 701, 702, 703, 704, None)] == [(700, True), (701, True), (700, False), (703, True), (703, False), (700, False)]
+    h = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    begin = np.array([0, 1, 2, 700, 955, 1210, 4000])
+    sizes = np.diff(np.append(begin, 5000))
+    want = [np.unpackbits(h[a : a + n].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0) for a, n in zip(begin, sizes)]
+    assert (simhash._bit_sums(h, begin, sizes) == np.stack(want)).all()
+
+
+def test_near_texts_odd(odd):
+    got = simhash.near_texts(odd).select("row.doc_id", "component_id", "leader").collect()
+    assert len(got) == len(ODD)
+    assert sorted((r["component_id"], r["leader"]) for r in got if r["doc_id"] == 1) == [(1, False), (1, True)]
+    assert sum(r["leader"] for r in got) == len({r["component_id"] for r in got})
+    assert simhash.near_texts(odd.limit(0)).count() == 0
+
+
 def test_masks_cover():
     for radius in (1, 2, 3):
         tables = simhash.masks(radius)
@@ -284,6 +345,31 @@ def test_pii_context(spark):
     assert got[0][0][0] > got[1][0][0]
 
 
+def test_pii_secrets_need_context(spark):
+    drawn = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'x token = "{drawn}" y', f"see {drawn} there", "password: " + "a" * 40, "api key AKIA/1b2c3d4e5f6g7h8i9== and", f"token {'-' * 60} {drawn}", f"SECRET={drawn}", None, ""]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "i long, text string")).collect()
+    found = {r["row"]["i"]: [(s["kind"], s["found"], round(s["score"], 2)) for s in r["spans"] if s["kind"] == "secret"] for r in got}
+    assert found[0] == found[5] == [("secret", drawn, 0.7)] and found[3] == [("secret", "AKIA/1b2c3d4e5f6g7h8i9==", 0.7)]
+    assert not any(found[i] for i in (1, 2, 4, 6, 7))
+
+
+def test_pii_query_has_the_scores(spark):
+    """Each span's score in the query's result, against the context before it."""
+    text = {d: t for d, t, *_ in table()}
+    kinds = {k.name: k for k in pii.KINDS}
+    import re
+
+    n = 0
+    for r in queries.op8_pii(spark, SF).collect():
+        spans = [s.split(":") for s in r["spans"].split(",")] if r["spans"] else []
+        for (kind, a, _), score in zip(spans, r["scores"].split(","), strict=bool(spans)):
+            k, near = kinds[kind], text[r["doc_id"]][max(0, int(a) - pii.CONTEXT) : int(a)]
+            assert int(score) == round(100 * (k.prior + pii.CONTEXT_GAIN * bool(re.search(k.context, near)))) >= 100 * k.least
+            n += 1
+    assert n > 10
+
+
 def test_pii_odd(odd):
     assert pii.find_pii(odd).count() == len(ODD)
     assert pii.find_pii(odd.limit(0)).count() == 0
