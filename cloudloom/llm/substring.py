@@ -1,18 +1,18 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
 Two documents share a passage of ``window`` words exactly if two suffixes of them have the same first ``window`` words, that is, meet in an internal
-node of the suffix tree at that depth.  Depth ``window`` is all that is asked, so the tree is built to that depth, in groups that hold whole subtrees:
-
-1. A suffix's group is named by the least GRAM-word hash in its first ``window`` words (its anchor).  Equal prefixes have equal anchors, so no subtree is
-   torn; neighbouring suffixes mostly share theirs and travel as one segment of text, not as a copy of ``window`` words each.
-2. Anchors that stand in one document only have no deep node with two documents; their suffixes are never sent.
-3. Large groups are split by longer prefixes, to the whole ``window`` words: such a group is a single deep node.  Their anchors are few by
-   definition and go to every task; equal segments become one before anything is shuffled, so a passage in a third of all
-   documents costs as many rows as it has different surroundings.
-4. The other groups are sorted by words 1, 2, 4, ... ``window`` deep (prefix doubling); suffixes with equal rank at the
-   last depth are the leaves below one deep internal node.  Words are compared themselves, not their hashes.
-
-Only documents with a shared anchor have text sent on; positions are (start, number of windows).
+node of the suffix tree at that depth.  Only such deep nodes are asked for, so the tree is built from groups that hold whole subtrees:
+
+1. A suffix belongs to the prefix of PREFIXES[0] words that begins at its anchor, the one of the least hash within its first ``window`` words.  Equal suffixes have
+   equal anchors, so no subtree is torn, and neighbouring suffixes mostly share theirs and travel as one segment of text, not as a copy of ``window`` words each.
+2. Prefixes that stand in one document only have no deep node with two documents; their suffixes are never sent.
+3. A group that doesn't fit in memory (more than ``most_group`` segments) is split by longer prefixes, the next of PREFIXES, until it fits.  Equal segments become one before
+   that, so a passage in a third of all documents costs as many rows as it has different surroundings.  A prefix of ``window`` words is a
+   single deep node, whose least document is a partial aggregate.
+4. A group that fits becomes a suffix array with its LCP array, by the words themselves.  Runs of the array whose LCP is ``window`` or more are
+   the leaves below one deep internal node: the maximal repeats, each with its least document.
+
+Groups and splits are the same at every size of the corpus.  Only documents with a shared prefix have text sent on; positions are (start, number of windows).
 """
 
 from __future__ import annotations
@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudloom.llm import _words
-from cloudloom.llm._graph import shared
+from cloudloom.llm._graph import hot_join, shared
 from cloudloom.llm._rows import tidied
 
-#: Words of a passage, and of the grams that name groups.
-WINDOW, GRAM = 50, 16
-#: A group is split above this share of all segments, within the two limits.
-SHARE, LEAST_GROUP, MOST_GROUP = 1 / 4096, 64, 200_000
-#: Anchors of split groups that are sent to every task at most; with more, MOST_GROUP is raised.
-HOT = 4_000_000
+#: Words of a passage, and of the prefixes that name groups; the last one is a whole passage.
+WINDOW, PREFIXES = 50, (16, 32)
+#: Segments of a group that is sorted in memory; larger groups are split by longer prefixes.
+MOST_GROUP = 2048
+#: Prefixes of larger groups that are sent to every task; if there are more, they are joined.
+SENT = 1 << 20
 #: Text of the groups that are sorted together.
 CHUNK_BYTES = 4 << 20
 #: Stands for a null doc_id, which counts last.
@@ -52,28 +52,54 @@ def segments(words: _words.WordBatch, window: int, gram: int) -> tuple[np.ndarra
     return g[anchor[first]].view(np.int64), begin[first], runs
 
 
-def deep_nodes(texts: list[bytes], runs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The deep node of each of the first ``runs[i]`` suffixes of each text i, as a number, and the texts' numbers.
+def suffix_array(texts: list[bytes], runs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of the first ``runs[i]`` suffixes of each text i, its LCP array (up to ``window`` words) and the suffixes' texts.
 
-    Ranks of the first 1, 2, 4, ... words of all suffixes by prefix doubling; equal ranks at depth ``window`` are one node.
+    Suffixes have numbers in the order of the texts.  Ranks of the first 1, 2, 4, ... ``window`` words by prefix doubling give the array; the
+    LCP of two neighbours adds up the longest steps, from the greatest down, over which their ranks agree.
     """
     place: dict[bytes, int] = {}
     words = [t.split(b" ") for t in texts]
     rank = np.array([place.setdefault(w, len(place)) for ws in words for w in ws], np.int64)
-    sizes = np.array([len(ws) for ws in words])
+    sizes = np.array([len(ws) for ws in words], np.int64)
     first = np.cumsum(sizes) - sizes
     room = np.repeat(first + sizes, sizes) - np.arange(len(rank))
-    depth = 1
+    depth, steps = 1, [(1, rank)]
     while depth < window:
         step = min(depth, window - depth)
         at = np.flatnonzero(room >= depth + step)
         _, ranks = np.unique(rank[at] * (len(rank) + len(place) + 1) + rank[at + step], return_inverse=True)
-        rank = np.zeros(len(rank), np.int64)
+        rank = np.full(len(rank), -1, np.int64)
         rank[at] = ranks
         depth += step
+        steps.append((depth, rank))
     text = np.repeat(np.arange(len(texts)), runs)
-    offset = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
-    return rank[first[text] + offset], text
+    start = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
+    order = np.argsort(rank[start], kind="stable")
+    one, two = start[order[:-1]], start[order[1:]]
+    lcp = np.where(rank[one] == rank[two], window, 0)
+    apart = np.flatnonzero(lcp == 0)
+    for step, ranks in reversed(steps[:-1]):
+        a, b = one[apart] + lcp[apart], two[apart] + lcp[apart]
+        lcp[apart] += step * ((ranks[a] == ranks[b]) & (ranks[a] >= 0))
+    return order, np.concatenate((np.zeros(min(1, len(order)), np.int64), lcp)), text
+
+
+def deep_nodes(texts: list[bytes], runs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The internal node of depth ``window`` above each of the first ``runs[i]`` suffixes of each text i, as a number, and the suffixes' texts."""
+    order, lcp, text = suffix_array(texts, runs, window)
+    node = np.empty(len(order), np.int64)
+    node[order] = np.cumsum(lcp < window)
+    return node, text
+
+
+def _least(node: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each suffix the least of the numbers ``of`` the suffixes of its node."""
+    order = np.argsort(node, kind="stable")
+    edge = np.flatnonzero(np.diff(node[order], prepend=-1) > 0)
+    out = np.empty(len(node), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(of[order], edge), np.diff(np.append(edge, len(node))))
+    return out
 
 
 def _ranges(flag: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,42 +147,46 @@ def _digests(texts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh3_128_digest(t) for t in texts]), ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def _heavy(window: int, gram: int, hot, distinct: bool):
-    """The segments of (doc, tkey, text) with a hot anchor.
+def _heavy(window: int, gram: int, known):
+    """The segments of (doc, tkey, text) with one of the prefixes ``known`` (a broadcast sorted array), or with one of those listed in a fourth column.
 
-    Each occurrence: (s1, s2, doc, tkey, start), s the segment's 128 bits; or, if ``distinct``, each different segment of a task
-    once: (content, least, most), its text and the least and greatest document that have it.
+    Each occurrence is a row (s1, s2, doc, tkey, start), s the segment's 128 bits.  Each different segment of a task is a row with its content and
+    the least and greatest document that have it.
     """
+    names = ["s1", "s2", "doc", "tkey", "start", "content", "least", "most"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+
+    def row(n: int, **own) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(own[c], k) if c in own else pa.nulls(n, k) for c, k in zip(names, kinds)], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ends, size = hot.value, {}, 0
+        ends, size = {}, 0
 
         def told() -> pa.RecordBatch:
-            least, most = zip(*ends.values())
-            return pa.RecordBatch.from_arrays([pa.array(list(ends), pa.binary()), pa.array(least, pa.int64()), pa.array(most, pa.int64())], ["content", "least", "most"])
+            s, (least, most) = _digests(list(ends)), zip(*ends.values())
+            return row(len(ends), s1=s[:, 0], s2=s[:, 1], content=list(ends), least=least, most=most)
 
         for batch in batches:
             texts = _words.to_bytes(batch.column(2))
             doc, tkey = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            listed = batch.column(3).to_pylist() if known is None else None
             for g in _words.groups(texts):
                 words = _words.split(texts[g], _words.NOT_SPACE, lower=False)
                 h, begin, runs = segments(words, window, gram)
-                spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                own = np.flatnonzero(known[spot] == h)
+                names_ = np.unique(np.array([x for own in listed[g] for x in own], np.int64)) if known is None else known.value
+                spot = np.minimum(np.searchsorted(names_, h), len(names_) - 1)
+                own = np.flatnonzero(names_[spot] == h)
                 d = np.searchsorted(words.first, begin[own], "right") - 1
                 content = [words.span(a, a + n + window - 1) for a, n in zip(begin[own].tolist(), runs[own].tolist())]
-                if not distinct:
-                    s = _digests(content)
-                    arrays = [s[:, 0], s[:, 1], doc[g][d], tkey[g][d], (begin[own] - words.first[d]).astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["s1", "s2", "doc", "tkey", "start"])
-                    continue
+                s = _digests(content)
+                yield row(len(own), s1=s[:, 0], s2=s[:, 1], doc=doc[g][d], tkey=tkey[g][d], start=(begin[own] - words.first[d]).astype(np.int32))
                 for t, x in zip(content, doc[g][d].tolist()):
-                    own_ends = ends.get(t)
-                    if own_ends is None:
+                    known_ends = ends.get(t)
+                    if known_ends is None:
                         size += len(t)
                         ends[t] = x, x
-                    elif x < own_ends[0] or x > own_ends[1]:
-                        ends[t] = min(x, own_ends[0]), max(x, own_ends[1])
+                    elif x < known_ends[0] or x > known_ends[1]:
+                        ends[t] = min(x, known_ends[0]), max(x, known_ends[1])
                 if size > 8 * _words.GROUP_BYTES:
                     yield told()
                     ends, size = {}, 0
@@ -166,43 +196,31 @@ def _heavy(window: int, gram: int, hot, distinct: bool):
     return cut
 
 
-def _spread(window: int):
-    """The windows of different segments (content, least, most): (s1, s2, place, k1, k2, least, most), k the window's 128 bits."""
+_RECUT = "h long, s1 long, s2 long, start int, run int, content binary, least long, most long"
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            s, of, cuts = _digests(texts), [], []
-            for i, t in enumerate(texts):
-                ws = t.split(b" ")
-                for place in range(len(ws) - window + 1):
-                    cuts.append(b" ".join(ws[place : place + window]))
-                    of.append((i, place))
-            k, of = _digests(cuts), np.array(of, np.int64).reshape(-1, 2)
-            least, most = (batch.column(c).to_numpy()[of[:, 0]] for c in (1, 2))
-            arrays = [s[of[:, 0], 0], s[of[:, 0], 1], of[:, 1].astype(np.int32), k[:, 0], k[:, 1], least, most]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["s1", "s2", "place", "k1", "k2", "least", "most"])
 
-    return spread
+def _recut(window: int, gram: int):
+    """Segments by prefixes of ``gram`` words of the segments (s1, s2, start, content, least, most)."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = batch.column(3).to_pylist()
+            for g in _words.groups(contents):
+                words = _words.split(contents[g], _words.NOT_SPACE, lower=False)
+                h, begin, runs = segments(words, window, gram)
+                d = np.searchsorted(words.first, begin, "right") - 1
+                s1, s2, start, least, most = (batch.column(c).to_numpy()[g][d] for c in (0, 1, 2, 4, 5))
+                content = [words.span(a, a + n + window - 1) for a, n in zip(begin.tolist(), runs.tolist())]
+                arrays = [h, s1, s2, (start + begin - words.first[d]).astype(np.int32), runs.astype(np.int32), pa.array(content, pa.binary()), least, most]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], [x.split()[0] for x in _RECUT.split(", ")])
 
-def _trees(window: int, chunk_bytes: int):
-    """Over rows sorted by h: the windows whose deep node has a smaller document, as (doc, tkey, start, n)."""
+    return cut
 
-    def solve(rows: pa.Table) -> pa.RecordBatch:
-        doc, tkey, start, runs = (rows[c].to_numpy() for c in ("doc", "tkey", "start", "run"))
-        node, text = deep_nodes(rows["content"].to_pylist(), runs, window)
-        order = np.argsort(node, kind="stable")
-        edge = np.flatnonzero(np.concatenate(([True], np.diff(node[order]) > 0)))
-        least = np.empty(len(node), np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(doc[text][order], edge), np.diff(np.concatenate((edge, [len(node)]))))
-        begin, n = _ranges(doc[text] > least, text)
-        own = text[begin]
-        offset = begin - (np.cumsum(runs) - runs)[own]
-        arrays = [doc[own], tkey[own], (start[own] + offset).astype(np.int32), n.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["doc", "tkey", "start", "n"])
 
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_groups(solve, chunk_bytes: int):
+    """Applies ``solve`` to whole groups, some at a time, of rows sorted by their first column."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
@@ -220,68 +238,145 @@ def _trees(window: int, chunk_bytes: int):
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return trees
+    return groups
+
+
+def _of_contents(rows: pa.Table, window: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least document of each window of each row's content, by a tree over the different contents; the window's row and place."""
+    content, runs = rows["content"].to_pylist(), rows["run"].to_numpy().astype(np.int64)
+    place: dict[bytes, int] = {}
+    which = np.array([place.setdefault(t, len(place)) for t in content], np.int64)
+    own = np.full(len(place), np.iinfo(np.int64).max)
+    np.minimum.at(own, which, least)
+    sizes = np.zeros(len(place), np.int64)
+    sizes[which] = runs
+    node, text = deep_nodes(list(place), sizes, window)
+    of_node = _least(node, own[text])
+    row = np.repeat(np.arange(len(runs)), runs)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)
+    return of_node[(np.cumsum(sizes) - sizes)[which][row] + at], row, at
+
+
+def _trees(window: int):
+    """Of rows (h, doc, tkey, start, run, content): the windows whose deep node has a smaller document, as (doc, tkey, start, n)."""
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        doc, tkey, start = (rows[c].to_numpy() for c in ("doc", "tkey", "start"))
+        least, row, at = _of_contents(rows, window, doc)
+        begin, n = _ranges(doc[row] > least, row)
+        own = row[begin]
+        arrays = [doc[own], tkey[own], (start[own] + at[begin]).astype(np.int32), n.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["doc", "tkey", "start", "n"])
+
+    return solve
+
+
+def _marks(window: int):
+    """Of rows (h, s1, s2, start, run, content, least, most): the places in the segments s whose deep node has two documents, as (s1, s2, place, least)."""
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        s1, s2, start, own, most = (rows[c].to_numpy() for c in ("s1", "s2", "start", "least", "most"))
+        least, row, at = _of_contents(rows, window, own)
+        keep = np.flatnonzero(least < most[row])
+        row = row[keep]
+        arrays = [s1[row], s2[row], (start[row] + at[keep]).astype(np.int32), least[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["s1", "s2", "place", "least"])
+
+    return solve
+
+
+def _split(contents: DataFrame, prefixes: tuple[int, ...], window: int, most_group: int, chunk_bytes: int) -> DataFrame:
+    """(s1, s2, place, least) of the segments (s1, s2, start, content, least, most), by prefixes that grow until their groups fit."""
+    marks = None
+    for gram in (*prefixes, window):
+        found = shared(contents.mapInArrow(tidied(_recut(window, gram)), _RECUT))
+        sizes = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("one"), F.max("most").alias("two")).where(F.col("one") < F.col("two"))
+        met = shared(hot_join(found, sizes.select("h", "n"), ["h"]))
+        fit = met.where(F.col("n") <= most_group).drop("n").repartition("h").sortWithinPartitions("h")
+        own = fit.mapInArrow(tidied(_in_groups(_marks(window), chunk_bytes)), "s1 long, s2 long, place int, least long")
+        marks = own if marks is None else marks.unionByName(own)
+        contents = met.where(F.col("n") > most_group).select("s1", "s2", "start", "content", "least", "most")
+        if contents.isEmpty():
+            return marks
+    # A group by a whole passage is one deep node.
+    node = contents.groupBy("content").agg(F.min("least").alias("first"))
+    last = hot_join(contents, node, ["content"]).where(F.col("first") < F.col("most"))
+    return marks.unionByName(last.select("s1", "s2", F.col("start").alias("place"), F.col("first").alias("least")))
+
+
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
 
 
 def _finish(window: int):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone = _words.to_bytes(batch.column(0).field("text")), batch.column(1).to_pylist()
-            kept, total, removed = [], [], []
+            kept, total, removed, spans = [], [], [], []
             for t, ranges in zip(texts, gone):
                 words = t.split()
-                n = len(words)
+                n, own = len(words), []
                 if ranges:
                     mark = np.zeros(n + 1, np.int64)
                     at = np.array([(x["start"], x["start"] + x["n"] + window - 1) for x in ranges])
                     np.add.at(mark, at[:, 0], 1)
                     np.add.at(mark, at[:, 1], -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(mark[:-1]) == 0)]
+                    out = np.cumsum(mark[:-1]) > 0
+                    begin, sizes = _ranges(out, np.zeros(n, np.int64))
+                    own = [{"start": a, "n": k} for a, k in zip(begin.tolist(), sizes.tolist())]
+                    words = [words[i] for i in np.flatnonzero(~out)]
                 kept.append(b" ".join(words).decode())
                 total.append(n)
                 removed.append(n - len(words))
-            arrays = [pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["row", "kept_text", "n_words", "n_removed"])
+                spans.append(own)
+            arrays = [pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPAN)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["row", "kept_text", "n_words", "n_removed", "removed"])
 
     return finish
 
 
-def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, share: float = SHARE, least_group: int = LEAST_GROUP, most_group: int = MOST_GROUP, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame, *, window: int = WINDOW, prefixes: tuple[int, ...] = PREFIXES, most_group: int = MOST_GROUP, sent: int = SENT, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) as the struct ``row``, its text without repeated passages, and counts.
 
     A word is removed if a passage of ``window`` words that covers it also begins in a row with a smaller doc_id.  Added: kept_text (the
-    kept words joined by one space), n_words, n_removed.  Passages are judged on the input, not on what is left of it.
+    kept words joined by one space), n_words, n_removed, removed (the removed runs of words: start, n).  Passages are judged on the input, not on what is left of it.
 
-    Null and empty texts have no words and give an empty kept_text.  A null doc_id counts as larger than all others.  Rows with the same doc_id
-    never remove from each other.  Texts shorter than ``window`` words are kept.  An empty table gives an empty table.
+    Null and empty texts have no words and give an empty kept_text.  A null doc_id counts as larger than all others but 2 ** 63 - 1, with which it ties.  Rows with the
+    same doc_id never remove from each other.  Texts shorter than ``window`` words are kept.  An empty table gives an empty table.
     """
-    spark = docs.sparkSession
+    spark, gram = docs.sparkSession, prefixes[0]
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tkey"), F.struct("*").alias("row"))
     texts = rows.select("doc", "tkey", F.col("row.text").alias("text"))
     refs = shared(texts.mapInArrow(tidied(_refs(window, gram)), "doc long, tkey long, h long, start int, run int"))
-    # A row for each anchor: partial sums before the shuffle.
+    # A row for each prefix: partial sums before the shuffle.
     met = shared(refs.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") < F.col("last")).select("h", "n"))
-    total = refs.count()
-    large = max(least_group, min(int(total * share), most_group), total // HOT)
-    # Fewer than total / large <= max(1 / share, HOT) anchors: bounded, whatever the corpus.
-    hot = np.sort(np.array([r["h"] for r in met.where(F.col("n") > large).select("h").collect()], np.int64))
-    calm = refs.join(met.where(F.col("n") <= large).select("h"), "h")
+    large = met.where(F.col("n") > most_group)
+    n_large, total = large.count(), refs.count()
+    # The hottest, 4,096 at most, stay out of the join, where each would be one task's.
+    hottest = F.broadcast(large.where(F.col("n") * 4096 >= total).select("h"))
+    calm = refs.join(hottest, "h", "left_anti").join(met.where(F.col("n") <= most_group).select("h"), "h")
     listed = calm.groupBy("doc", "tkey").agg(F.collect_list(F.struct("h", "start", "run")).alias("segs"))  # a document's own segments
     # The documents are dealt once, by (doc, tkey): both joins below read the same shuffle.
     pieces = rows.join(listed, ["doc", "tkey"]).select("doc", "tkey", "row", "segs").mapInArrow(tidied(_light(window)), "h long, doc long, tkey long, start int, run int, content binary")
-    gone = pieces.repartition("h").sortWithinPartitions("h").select("h", "doc", "tkey", "start", "run", "content").mapInArrow(tidied(_trees(window, chunk_bytes)), "doc long, tkey long, start int, n int")
+    pieces = pieces.repartition("h").sortWithinPartitions("h").select("h", "doc", "tkey", "start", "run", "content")
+    gone = pieces.mapInArrow(tidied(_in_groups(_trees(window), chunk_bytes)), "doc long, tkey long, start int, n int")
     gone = gone.select("doc", "tkey", F.array(F.struct("start", "n")).alias("gone"))
-    if len(hot):
-        known = spark.sparkContext.broadcast(hot)
-        segs = texts.mapInArrow(tidied(_heavy(window, gram, known, True)), "content binary, least long, most long")
-        segs = segs.groupBy("content").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-        spread = shared(segs.mapInArrow(tidied(_spread(window)), "s1 long, s2 long, place int, k1 long, k2 long, least long, most long"))
-        node = shared(spread.groupBy("k1", "k2").agg(F.min("least").alias("least"), F.max("most").alias("most")).where(F.col("least") < F.col("most")).drop("most"))
-        places = spread.select("s1", "s2", "place", "k1", "k2").join(node, ["k1", "k2"])
-        marks = shared(places.groupBy("s1", "s2").agg(F.collect_list(F.struct("place", "least")).alias("marks")))  # of a segment, as many as it has windows
-        found = texts.mapInArrow(tidied(_heavy(window, gram, known, False)), "s1 long, s2 long, doc long, tkey long, start int").join(marks, ["s1", "s2"])
+    if n_large:
+        known = None
+        if n_large <= sent:
+            known = spark.sparkContext.broadcast(np.sort(large.select("h").toPandas()["h"].to_numpy(np.int64)))
+        else:
+            own = refs.join(F.broadcast(large.where(F.col("n") * 4096 >= total).select("h")), "h").select("doc", "tkey", "h")
+            own = own.unionByName(refs.join(hottest, "h", "left_anti").join(large.select("h"), "h").select("doc", "tkey", "h"))
+            texts = texts.join(own.groupBy("doc", "tkey").agg(F.collect_set("h").alias("names")), ["doc", "tkey"]).select("doc", "tkey", "text", "names")
+        cut = shared(texts.mapInArrow(tidied(_heavy(window, gram, known)), "s1 long, s2 long, doc long, tkey long, start int, content binary, least long, most long"))
+        contents = cut.where(F.col("content").isNotNull()).groupBy("s1", "s2").agg(F.first("content").alias("content"), F.min("least").alias("least"), F.max("most").alias("most"))
+        marks = _split(contents.select("s1", "s2", F.lit(0).alias("start"), "content", "least", "most"), prefixes[1:], window, most_group, chunk_bytes)
+        marks = shared(marks.groupBy("s1", "s2").agg(F.collect_list(F.struct("place", "least")).alias("marks")))  # of a segment, as many as it has windows
+        found = hot_join(cut.where(F.col("content").isNull()).select("s1", "s2", "doc", "tkey", "start"), marks, ["s1", "s2"])
         taken = F.transform(F.filter("marks", lambda m: m["least"] < F.col("doc")), lambda m: F.struct((F.col("start") + m["place"]).alias("start"), F.lit(1).alias("n")))
         gone = gone.unionByName(found.select("doc", "tkey", taken.alias("gone")).where(F.size("gone") > 0))
     removal = gone.groupBy("doc", "tkey").agg(F.flatten(F.collect_list("gone")).alias("gone"))
-    final = T.StructType([rows.schema["row"], *T._parse_datatype_string("kept_text string, n_words long, n_removed long").fields])
+    final = T.StructType([rows.schema["row"], *T._parse_datatype_string("kept_text string, n_words long, n_removed long, removed array<struct<start: int, n: int>>").fields])
     return rows.join(removal, ["doc", "tkey"], "left").select("row", "gone").mapInArrow(tidied(_finish(window)), final)

@@ -38,12 +38,13 @@ def _passages(seed, window):
     return [*out, out[5], (70, None), (71, ""), (72, out[7][1])]
 
 
-@pytest.mark.parametrize("least_group,chunk_bytes", [(512, 1 << 22), (512, 300), (2, 300)])
-def test_substrings_against_brute_force(spark, least_group, chunk_bytes):
-    for seed in (1, 2):
+@pytest.mark.parametrize("most_group,chunk_bytes,sent,prefixes", [(2048, 1 << 22, 1 << 20, (3, 5)), (512, 300, 0, (3,)), (20, 300, 1 << 20, (3, 5)), (2, 300, 0, (3, 5))])
+def test_substrings_against_brute_force(spark, most_group, chunk_bytes, sent, prefixes):
+    """With groups that fit, and with groups that are split once, twice and down to single nodes, their prefixes sent or joined."""
+    for seed in (1, 2)[: 1 if sent else 2]:
         docs = _passages(seed, 8)
         df = spark.createDataFrame(docs, "doc_id long, text string")
-        got = substring.dedup_substrings(df, window=8, gram=3, least_group=least_group, chunk_bytes=chunk_bytes)
+        got = substring.dedup_substrings(df, window=8, prefixes=prefixes, most_group=most_group, sent=sent, chunk_bytes=chunk_bytes)
         from pyspark.sql import functions as F
 
         found = rows(got.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("s")), "doc_id", "n_words", "n_removed", "s")
@@ -67,8 +68,30 @@ def test_deep_nodes():
     assert all(len(x) == 1 for x in seen.values()) and len(set.union(*seen.values())) == len(seen)
 
 
+def test_suffix_array_and_lcp():
+    import numpy as np
+
+    rng = random.Random(6)
+    texts = [[rng.choice("abc") for _ in range(rng.randint(11, 60))] for _ in range(20)]
+    for window in (1, 2, 5, 11):
+        runs = np.array([len(t) - window + 1 for t in texts])
+        order, lcp, text = substring.suffix_array([" ".join(t).encode() for t in texts], runs, window)
+        suffixes = [t[s : s + window] for t, r in zip(texts, runs) for s in range(r)]
+        assert sorted(order.tolist()) == list(range(len(suffixes))) and len(text) == len(suffixes)
+        for k in range(1, len(order)):
+            a, b = suffixes[order[k - 1]], suffixes[order[k]]
+            assert lcp[k] == next((i for i in range(window) if a[i] != b[i]), window)
+        # suffixes with a common beginning of any length stand together
+        for n in range(1, window + 1):
+            blocks = 1 + int((lcp[1:] < n).sum())
+            assert blocks == len({tuple(x[:n]) for x in suffixes})
+
+
 def test_substrings_odd(odd):  # noqa: F811
     assert substring.dedup_substrings(odd).count() == len(ODD)
+    few = substring.dedup_substrings(odd, window=2, prefixes=(1,), most_group=2)
+    got = {(r["row"]["doc_id"], r["row"]["text"]): (r["kept_text"], [tuple(x) for x in r["removed"]]) for r in few.collect()}
+    assert got[2, None] == got[3, ""] == ("", []) and got[1, "a b c a b c"] == ("a b c a b c", [])
     assert substring.dedup_substrings(odd.limit(0)).count() == 0
 
 
