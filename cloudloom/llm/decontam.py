@@ -4,9 +4,11 @@ Of every ``window`` words the least k-gram hash is a fingerprint, so two texts t
 a fingerprint from inside them.  Fingerprints of the documents are joined with those of the benchmark, and each hit is extended: the
 windows around it are compared with the benchmark's windows word by word.
 
-The benchmark is split by item into blocks whose text has at most ``block_bytes``; a block is sent to every task and
-joined there, so the documents are never shuffled.  One block, the usual case, is a single pass over the
-documents.  With more, each block is a pass, and only the hits are grouped.
+The benchmark is split into blocks whose text has about ``block_bytes``; items longer than PIECE_BYTES are cut into pieces that overlap by a window.  A block is
+sent to every task and joined there, so the documents are never shuffled.  One block, the usual case, is a single pass over the
+documents.  With more, each block is a pass over the rows, which are written with a number first, and only the hits are grouped.
+
+A block is flat arrays: its text once, the places of its words, and for each window its hash, first word and item; some six bytes for each byte of text.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudloom.llm import _words
+from cloudloom.llm._graph import shared
 from cloudloom.llm._rows import packed, tidied
 from cloudloom.llm._rows import texts as column
 
 #: Words of a window, words of a fingerprinted gram.
 WINDOW, GRAM = 13, 5
-#: Text of the benchmark in one block at most.
-BLOCK_BYTES = 32 << 20
+#: Text of the benchmark in one block, and of a piece of a longer item, about.
+BLOCK_BYTES, PIECE_BYTES = 32 << 20, 1 << 20
 
 _RESULT = "n_words long, starts array<int>, sizes array<int>, items array<string>"
 
@@ -40,26 +43,49 @@ def fingerprints(h: np.ndarray, room: np.ndarray, window: int) -> tuple[np.ndarr
 
 
 class Benchmark:
-    """The windows of some items: for each window length, its fingerprints and the items of each window."""
+    """The windows of some items as sorted arrays, one set of them for each window length."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        self.by_size: dict[int, tuple[np.ndarray, dict[bytes, set[str]]]] = {}
-        fps: dict[int, list[np.ndarray]] = {}
-        for item, text in items:
-            words = _words.split([(text or "").encode()], _words.ALNUM, lower=True)
-            n = len(words.starts)
-            if not n:
+        self.ids = sorted({item for item, _ in items if item is not None})
+        number = {item: i for i, item in enumerate(self.ids)}
+        #: window length -> fingerprints; windows' hashes in order, their first words and items (-1: of no id)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        texts = [(text or "").encode() for _, text in items]
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        raw, starts, ends, n_words, n_bytes = [], [], [], 0, 0
+        for g in _words.groups(texts):
+            words = _words.split(texts[g], _words.ALNUM, lower=True)
+            raw.append(words.raw)
+            starts.append((words.starts + n_bytes).astype(np.uint32))
+            ends.append((words.ends + n_bytes).astype(np.uint32))
+            if not len(words.starts):
+                n_bytes += len(words.raw)
                 continue
-            m = min(window, n)
-            _, windows = self.by_size.setdefault(m, (np.zeros(0, np.uint64), {}))
-            for i in range(n - m + 1):
-                own = windows.setdefault(words.span(i, i + m), set())
-                if item is not None:
-                    own.add(item)
-            at, g = fingerprints(words.hashes(), words.room(), m)
-            fps.setdefault(m, []).append(g[at])
-        for m, parts in fps.items():
-            self.by_size[m] = (np.unique(np.concatenate(parts)), self.by_size[m][1])
+            h, room = words.hashes(), words.room()
+            own = np.repeat(np.array([number.get(item, -1) for item, _ in items[g]], np.int32), words.counts())
+            size = np.minimum(np.repeat(words.counts(), words.counts()), window)
+            for m in np.unique(size).tolist():
+                at = np.flatnonzero((size == m) & (room >= m))
+                spots, grams = fingerprints(h, np.where(size == m, room, 0), m)
+                parts.setdefault(m, []).append((grams[spots], _words.grams(h, m)[at], (at + n_words).astype(np.uint32), own[at]))
+            n_words += len(words.starts)
+            n_bytes += len(words.raw)
+        self.raw, self.starts, self.ends = b"".join(raw), np.concatenate([np.zeros(0, np.uint32), *starts]), np.concatenate([np.zeros(0, np.uint32), *ends])
+        for m in list(parts):
+            fps, hashes, first, own = (np.concatenate(x) for x in zip(*parts.pop(m)))
+            order = np.argsort(hashes, kind="stable")
+            self.by_size[m] = np.unique(fps), hashes[order], first[order], own[order]
+
+    @property
+    def n_bytes(self) -> int:
+        """Bytes of all arrays."""
+        return len(self.raw) + self.starts.nbytes + self.ends.nbytes + sum(x.nbytes for arrays in self.by_size.values() for x in arrays)
+
+    def _same(self, words: _words.WordBatch, i: int, first: np.ndarray, m: int) -> np.ndarray:
+        """Which of the windows that begin at ``first`` are word for word the m words from i on."""
+        want = words.span(i, i + m)
+        own = lambda a: b" ".join([self.raw[x:y] for x, y in zip(self.starts[a : a + m].tolist(), self.ends[a : a + m].tolist())])
+        return np.array([own(a) == want for a in first.tolist()], bool)
 
     def hits(self, words: _words.WordBatch) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
         """Start word and length of each occurrence of a window in a batch, and its items."""
@@ -67,7 +93,7 @@ class Benchmark:
         if not len(words.starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), items
         h, room = words.hashes(), words.room()
-        for m, (known, windows) in sorted(self.by_size.items()):
+        for m, (known, hashes, first, own) in sorted(self.by_size.items()):
             at, g = fingerprints(h, room, m)
             if not len(at):
                 continue
@@ -76,20 +102,50 @@ class Benchmark:
             reach = m - min(GRAM, m)
             near = np.unique((seeds[:, None] - np.arange(reach + 1)).ravel())
             near = near[near >= 0]
-            for i in near[room[near] >= m].tolist():
-                own = windows.get(words.span(i, i + m))
-                if own is not None:
+            near = near[room[near] >= m]
+            wanted = _words.grams(h, m)[near]
+            low, high = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
+            for i, a, b in zip(near[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
+                same = self._same(words, i, first[a:b], m)
+                if same.any():
                     starts.append(i)
                     sizes.append(m)
-                    items.append(own)
+                    items.append({self.ids[x] for x in np.unique(own[a:b][same]).tolist() if x >= 0})
         return np.array(starts, np.int64), np.array(sizes, np.int64), items
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+def _pieces(window: int, most: int):
+    """Items (item, text) whose longer texts are cut into pieces of about ``most`` bytes; a piece begins with the last ``window`` - 1 words of the one before."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str | None, str]] = []
+            for item, text in zip(batch.column(0).to_pylist(), _words.to_bytes(batch.column(1))):
+                if len(text) <= most:
+                    out.append((item, text.decode()))
+                    continue
+                words = _words.split([text], _words.ALNUM, lower=True)
+                begin, n = 0, len(words.starts)
+                while begin < n:
+                    end = int(np.searchsorted(words.starts, words.starts[begin] + most))
+                    end = n if n - end < window else max(end, begin + window)
+                    out.append((item, words.span(begin, end).decode()))
+                    if end == n:
+                        break
+                    begin = end - window + 1
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["item", "text"])
+
+    return cut
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int, window: int, piece_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items, in blocks of about ``block_bytes`` of text; only one block is held at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text"))
-    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 40)).first()[0] or 0
-    n = -(-2 * size // block_bytes) if size > block_bytes else 1
+    room = F.coalesce(F.octet_length("text"), F.lit(0))
+    size, most = items.agg(F.sum(room + 40), F.max(room)).first()
+    if (most or 0) > piece_bytes:
+        items = shared(items.mapInArrow(tidied(_pieces(window, piece_bytes)), "item string, text string"))
+    n = -(-2 * size // block_bytes) if (size or 0) > block_bytes else 1
     for i in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
         yield [(r["item"], r["text"]) for r in block.collect()]
@@ -136,7 +192,7 @@ def _decided(n: int, starts, sizes, items) -> tuple:
     return n, n_hit, n_items, digest, sorted(items), n_hit > 0 and 20 * n_hit >= n
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Each row of ``docs`` (text) as the struct ``row`` of its columns ``keep`` (all by default), with what it shares with ``benchmark`` (item_id, text).
 
     Added: n_words, n_hit (words inside an occurrence of a benchmark window), n_items, items_sha256 (of the sorted, comma-joined ids),
@@ -149,29 +205,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str]
     """
     rows = packed(docs, keep)
     final = T.StructType([rows.schema["row"], *T._parse_datatype_string("n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean").fields])
-    blocks = _blocks(benchmark, block_bytes)
+    blocks = _blocks(benchmark, block_bytes, window, piece_bytes)
     first, second = next(blocks), next(blocks, None)
     if second is None:
         return _scan(rows, Benchmark(first, window), final, _decided)
     text = F.col("t") if "t" in rows.columns else F.col("row.text")
-    rows = rows.select(F.struct("row", F.monotonically_increasing_id().alias("rid")).alias("row"), text.alias("t"))
+    rows = shared(rows.select(F.struct("row", F.monotonically_increasing_id().alias("rid")).alias("row"), text.alias("t")))  # one number a row in all passes
+    base = None
     part = T.StructType([rows.schema["row"], *T._parse_datatype_string(_RESULT).fields])
     raw = lambda n, starts, sizes, items: (n, starts, sizes, sorted(items))
     hits = None
-    for i, block in enumerate(x for known in ([first, second], blocks) for x in known):
-        found = _scan(rows, Benchmark(block, window), part, raw)
-        if i == 0:
-            base, found = found, found.where(F.size("starts") > 0)
-        else:
-            found = found.where(F.size("starts") > 0)
-        found = found.select(F.col("row.rid").alias("rid"), "starts", "sizes", "items")
+    for block in (x for known in ([first, second], blocks) for x in known):
+        slim = rows.select(F.struct(F.col("row.rid").alias("rid")).alias("row"), "t")
+        found = _scan(slim, Benchmark(block, window), T.StructType([slim.schema["row"], *part.fields[1:]]), raw)
+        if base is None:
+            found = shared(found)
+            base = found.select(F.col("row.rid").alias("rid"), "n_words")
+        found = found.where(F.size("starts") > 0).select(F.col("row.rid").alias("rid"), "starts", "sizes", "items")
         hits = found if hits is None else hits.unionByName(found)
     # A document's own hits; each is bounded by its words.
     joined = hits.groupBy("rid").agg(*[F.flatten(F.collect_list(F.struct("starts", "sizes", "items"))[c]).alias(c) for c in ("starts", "sizes", "items")])
-    merged = base.select("row", "n_words").join(joined, F.col("row.rid") == joined["rid"], "left")
+    merged = rows.select(F.col("row.row").alias("row"), F.col("row.rid").alias("rid")).join(base, "rid").join(joined, "rid", "left")
     covered = F.array_distinct(F.flatten(F.zip_with("starts", "sizes", lambda s, n: F.sequence(s, s + n - 1))))
     n_hit = F.coalesce(F.size(covered), F.lit(0)).cast("long")
     n_hit = F.when(F.col("starts").isNull(), F.lit(0).cast("long")).otherwise(n_hit)
     items = F.coalesce(F.array_sort(F.array_distinct("items")), F.expr("cast(array() as array<string>)"))
-    out = merged.select(F.col("row.row").alias("row"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), items.alias("items"))
+    out = merged.select("row", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), items.alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -154,18 +154,33 @@ def test_out_of_place():
 COLUMNS3 = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 3000])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes,piece_bytes", [(decontam.BLOCK_BYTES, decontam.PIECE_BYTES), (20_000, 300)])
+def test_decontamination(spark, block_bytes, piece_bytes):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     extra = spark.createDataFrame([(1000, "Un deux trois"), (1001, None), (None, "quatre cinq"), (1002, ""), (1003, "the of")], "item_id long, text string")
     more = spark.createDataFrame([(9000, "x un DEUX trois y the the of"), (9001, None), (9001, "the of"), (9001, "the of"), (9002, "")], "doc_id long, text string")
     docs, bench = docs.select("doc_id", "text").unionByName(more), bench.select("item_id", "text").unionByName(extra)
-    got = decontam.find_contamination(docs, bench, block_bytes=block_bytes).select("row.doc_id", *COLUMNS3[1:])
+    got = decontam.find_contamination(docs, bench, block_bytes=block_bytes, piece_bytes=piece_bytes).select("row.doc_id", *COLUMNS3[1:])
     want = brute.contamination([tuple(r) for r in docs.collect()], [tuple(r) for r in bench.where("item_id is not null").collect()])
     assert sum(r[5] for r in want) > 5
     assert rows(got, *COLUMNS3) == sorted(want, key=repr)
 
 
+def test_benchmark_block_is_small():
+    """Bytes of a block's arrays for each byte of its text, so that a full block stays below 300 MB in a task."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(5000)]
+    items = [(str(i), " ".join(rng.choice(words) for _ in range(150))) for i in range(1500)]
+    block = decontam.Benchmark(items)
+    text = sum(len(t) for _, t in items)
+    assert block.n_bytes < 7 * text and block.n_bytes / text * decontam.BLOCK_BYTES < 300e6
+    from cloudloom.llm import _words
+
+    own = _words.split([b"x y " + items[7][1].upper().encode() + b" z"], _words.ALNUM, lower=True)
+    starts, sizes, found = block.hits(own)
+    assert starts.tolist() == list(range(2, 140)) and set(sizes.tolist()) == {13} and set.union(*found) == {"7"}
+
+
 def test_decontamination_odd(odd, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in decontam.find_contamination(odd, none).collect()} == {0}
