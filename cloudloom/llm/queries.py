@@ -27,7 +27,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_fold(4) == 2, F.lit(False))
-    profiles = langid.learn_profiles(docs.where(~held_out))
+    profiles = langid.profile_table(docs.where(~held_out))
     found = langid.identify(docs, profiles, keep=["doc_id"])
     return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", held_out)
 

@@ -41,6 +41,39 @@ def targets(sizes):
     return out
 
 
+def language_grams(text):
+    """The 1- to 3-grams of the letters of a text, runs of anything else being one space."""
+    import regex
+
+    s = " " + " ".join(regex.findall(r"\p{L}+", text.lower())) + " "
+    return Counter([c for c in s if c != " "] + [s[i : i + n] for n in (2, 3) for i in range(len(s) - n + 1)])
+
+
+def _in_order(grams, k):
+    return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], sum(ord(c) << 21 * i for i, c in enumerate(reversed(x[0])))))][:k]
+
+
+def languages(docs, profile=400, document=300):
+    """docs: [(id, text, lang, learned from)] -> {id: (language, score)} by out-of-place distance to rank-order profiles."""
+    import regex
+
+    counts = {}
+    for _, t, lang, train in docs:
+        if train and t is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(language_grams(t))
+    ranks = {lang: {g: i for i, g in enumerate(_in_order(c, profile))} for lang, c in counts.items()}
+    out, missing = {}, max([document, *map(len, ranks.values())])
+    for d, t, *_ in docs:
+        if not t or not regex.search(r"\p{L}", t):
+            out[d] = "und", 0.0
+            continue
+        top = _in_order(language_grams(t), document)
+        far = {lang: sum(abs(r[g] - i) if g in r else missing for i, g in enumerate(top)) for lang, r in ranks.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        out[d] = best, 1 - far[best] / (missing * len(top))
+    return out
+
+
 def contamination(docs, items):
     """docs, items: [(id, text)] -> rows as op3's."""
     windows = {}

@@ -126,6 +126,28 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_against_brute_force(spark):
+    """Every prediction and score of the query, from profiles learned as the query learns them."""
+    docs = [(d, t, lang, brute.fold(d, 4) != 2) for d, t, _, lang in table()]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op2_language_id(spark, SF).collect()}
+    want = brute.languages(docs)
+    assert {d: x[0] for d, x in got.items()} == {d: x[0] for d, x in want.items()}
+    assert all(got[d][1] == pytest.approx(want[d][1], abs=1e-12) for d in want)
+
+
+def test_language_in_blocks_and_slices(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    from pyspark.sql import functions as F
+
+    many = docs.withColumn("lang", F.concat_ws("-", "lang", (F.col("doc_id") % 5).cast("string")))
+    table_ = langid.profile_table(many)
+    got, want = (sorted(map(repr, langid.identify(docs, p, keep=["doc_id"], block=6).collect())) for p in (table_, langid.learn_profiles(many)))
+    assert got == want and len(set(langid.learn_profiles(many))) > 12
+    text = "Où est l'été ? — ça, c'est 12 fois... ñandú" * 3
+    for slice_ in (1, 2, 5, 7):
+        assert [x.tolist() for x in langid.ngrams(text, slice_)] == [x.tolist() for x in langid.ngrams(text)]
+
+
 def test_language_odd(odd, spark):
     profiles = {"en": langid.ngrams("the cat and the hat")[0].tolist(), "fr": langid.ngrams("née été")[0].tolist()}
     got = langid.identify(odd, profiles).select("row.doc_id", "lang_pred").collect()
