@@ -1,6 +1,7 @@
 """Licence scans: TF-IDF cosine of licence headers to templates, then inheritance from the nearest directory above.
 
-1. The lines of a file that speak of licences are its header; a licence file (LICENSE, COPYING, ...) is compared as a whole too.
+1. The lines of a file that speak of licences are its header.  Compared are the header, its lines, the notices within them, the paragraphs that such a line
+   stands in, together and with the one before and after, and a licence file (LICENSE, COPYING, ...) as a whole; the best counts.
 2. Headers and templates are sparse TF-IDF vectors with the document frequencies of all words over all headers; the
    template of the greatest cosine names the licence.  A notice that shares its line with a holder's name is compared on its own too.
    Words of templates and of at least 1 / COMMON of the headers go to every task; rarer ones meet their counts in a join.
@@ -20,30 +21,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudloom.llm._graph import shared
+from cloudloom.llm._graph import hot_join, shared
 from cloudloom.llm._rows import tidied
 
-# Short notices and headers of common licences.
+# Whole texts of the short licences, and of all licences their titles, preambles and usual notices.
+_AS_IS_BSD = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_TWO = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_GNU_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+_FSF = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
     ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", "MIT License " + _MIT_GRANT),
+    ("MIT", "MIT License " + _MIT_GRANT + " " + _MIT_AS_IS),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GNU_NOTICE.format(2)),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. " + _FSF),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("GPL-3.0", _GNU_NOTICE.format(3)),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _FSF),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. " + _FSF),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _FSF),
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _FSF),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. BSD 3-Clause License."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License."),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-2-Clause", f"BSD 2-Clause License {_BSD_HEAD} {_BSD_TWO}"),
+    ("BSD-2-Clause", f"BSD 2-Clause License {_BSD_HEAD} {_BSD_TWO} {_AS_IS_BSD}"),
+    ("BSD-3-Clause", "BSD 3-Clause License."),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-3-Clause", f"BSD 3-Clause License {_BSD_HEAD} {_BSD_TWO} {_BSD_THIRD}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License {_BSD_HEAD} {_BSD_TWO} {_BSD_THIRD} {_AS_IS_BSD}"),
     ("ISC", "ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("ISC", f"ISC License {_ISC_GRANT} {_ISC_AS_IS}"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0. Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License. CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. The Unlicense."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 #: Lines with one of these, in any case, belong to the header. Plain substrings: most texts have none, and are done with at the speed of a search.
 CUES = ("licens", "licenc", "copyright", "spdx", "permission is hereby", "redistribut", "public domain", "creative commons", "cc by", "cc-by", "cc0", "unencumbered")
@@ -55,8 +93,8 @@ LEAST_COSINE = 0.6
 COMMON = 1 << 16
 #: Words that a task passes on at a time.
 FLUSH = 400_000
-#: Parts that the files of a directory are dealt to.
-SALTS = 64
+#: Directories with at least 1 / HOT of all files meet their licence in a broadcast.
+HOT = 1024
 
 _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -68,6 +106,39 @@ def header(text: str | None) -> str:
     return "\n".join(line for line in text.split("\n") if any(c in line.lower() for c in cues)) if cues else ""
 
 
+_COMMENT = re.compile(r"^[\s#*/;%!-]+|[\s*/#-]+$")
+
+
+def paragraphs(text: str) -> list[str]:
+    """The paragraphs of a text that speak of licences, each alone and with all that follow each other; comment marks at the ends of lines don't count."""
+    blocks, block = [], []
+    for line in (*(_COMMENT.sub("", x) for x in text.split("\n")), ""):
+        if line:
+            block.append(line)
+        elif block:
+            blocks.append("\n".join(block))
+            block = []
+    cued = [any(c in b.lower() for c in CUES) for b in blocks]
+    out = [b for b, c in zip(blocks, cued) if c]
+    # a run of paragraphs, none more than two away from one with a cue: a licence text within a file
+    near = [any(cued[max(0, i - 2) : i + 3]) for i in range(len(blocks))]
+    begin = 0
+    for i in range(len(blocks) + 1):
+        if i == len(blocks) or not near[i]:
+            if i - begin > 1:
+                out.append("\n".join(blocks[begin:i]))
+            begin = i + 1
+    return list(dict.fromkeys(out))
+
+
+def compared(text: str | None, whole: bool) -> list[str]:
+    """What is compared of a file: its header, lines, notices and paragraphs, and all of it if ``whole``."""
+    own = header(text)
+    lines = sorted({line for line in own.split("\n") if line.strip()})
+    each = dict.fromkeys([own, *lines, *(x for line in lines for x in pieces(line)), *(paragraphs(text) if own else []), *([text or ""] if whole else [])])
+    return [x for x in each if x]
+
+
 def tokens(text: str) -> Counter[str]:
     return Counter(_TOKEN.findall(text.lower()))
 
@@ -149,6 +220,7 @@ def detect(files: DataFrame, *, keep: list[str] | None = None, least: float = LE
     """Each row of ``files`` (path, text) as the struct ``row`` of its columns ``keep`` (all by default), with detected, the licence of its header, and cosine.
 
     Only words of the templates are counted here, and lines are compared whole: for files whose headers hold little else.  scan_licenses uses detect_all.
+    Null and empty texts have no header and cosine 0; a null path names no licence file.  Rows that repeat are rows of their own, an empty table gives an empty one.
     """
     # One row for each word of the templates' vocabulary at most, whatever the files are.
     df = frequencies(files, _VOCABULARY).collect()
@@ -188,17 +260,13 @@ def detect_all(files: DataFrame, *, keep: list[str] | None = None, least: float
         for batch in batches:
             found = []
             for text, whole in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = header(text)
-                lines = sorted({line for line in own.split("\n") if line.strip()})
-                # the header, its single lines, the notices within them, and licence files as a whole
-                each = dict.fromkeys([own, *lines, *(x for line in lines for x in pieces(line)), *([text or ""] if whole else [])])
-                found.append([{"k": k, **match.partly(x)} for k, x in enumerate(x for x in each if x)] or None)
+                found.append([{"k": k, **match.partly(x)} for k, x in enumerate(compared(text, whole))] or None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(part))], ["row", "parts"])
 
     schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("parts array<struct<k int, name string, product double, square double, rare array<struct<token string, times long>>>>").fields])
     found = shared(rows.mapInArrow(tidied(matched), schema).withColumn("rid", F.monotonically_increasing_id()))
-    compared = found.where(F.col("parts").isNotNull())
-    each = compared.select("rid", F.explode("parts").alias("part")).select("rid", "part.*")
+    told = found.where(F.col("parts").isNotNull())
+    each = told.select("rid", F.explode("parts").alias("part")).select("rid", "part.*")
     words = each.select("rid", "k", "name", "product", "square", F.explode_outer("rare").alias("word"))
     # without rarer words, a key of its own that is no word: nulls would all go to one task
     words = words.withColumn("token", F.coalesce("word.token", F.concat(F.lit(" "), F.col("rid").cast("string")))).withColumn("times", F.col("word.times")).drop("word")
@@ -208,11 +276,11 @@ def detect_all(files: DataFrame, *, keep: list[str] | None = None, least: float
     lengths = words.join(rare, "token", "left").groupBy("rid", "k").agg(F.first("name").alias("name"), F.first("product").alias("product"), F.sqrt(F.first("square") + more).alias("length"))
     cosine = F.when(F.col("length") > 0, F.least(F.lit(1.0), F.col("product") / F.col("length"))).otherwise(0.0)
     best = lengths.select("rid", "k", "name", cosine.alias("cosine")).groupBy("rid").agg(F.max_by(F.struct("name", "cosine"), F.struct("cosine", -F.col("k"))).alias("best"))
-    named = compared.join(best, "rid").select("row", F.when(F.col("best.cosine") >= least, F.col("best.name")).alias("detected"), F.col("best.cosine").alias("cosine"))
+    named = told.join(best, "rid").select("row", F.when(F.col("best.cosine") >= least, F.col("best.name")).alias("detected"), F.col("best.cosine").alias("cosine"))
     return named.unionByName(found.where(F.col("parts").isNull()).select("row", F.lit(None).cast("string").alias("detected"), F.lit(0.0).alias("cosine")))
 
 
-def scan_licenses(files: DataFrame, *, keep: list[str] | None = None, least: float = LEAST_COSINE, salts: int = SALTS) -> DataFrame:
+def scan_licenses(files: DataFrame, *, keep: list[str] | None = None, least: float = LEAST_COSINE, hot: int = HOT) -> DataFrame:
     """Each row of ``files`` (path, text) as the struct ``row`` of its columns ``keep``, with its licence.
 
     keep must name path; by default it is all columns.
@@ -233,9 +301,7 @@ def scan_licenses(files: DataFrame, *, keep: list[str] | None = None, least: flo
     steps = F.split("dir", "/")
     ancestors = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(steps, 1, i), "/").alias("above")))).alias("up"))
     nearest = ancestors.select("dir", "up.*").join(of_dir, "above").groupBy("dir").agg(F.max_by(F.struct("above", "dir_license"), "depth").alias("got"))
-    nearest = nearest.select(F.col("dir").alias("dir_"), "got", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt_"))
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("row.path"), F.lit(salts)).cast("int"))
-    both = salted.join(nearest, (F.col("dir") == F.col("dir_")) & (F.col("salt") == F.col("salt_")), "left")
+    both = hot_join(placed.withColumn("dir", F.coalesce("dir", F.concat(F.lit("/"), F.monotonically_increasing_id().cast("string")))), nearest.hint("merge"), ["dir"], "left", hot=hot)
     own = F.col("detected").isNotNull()
     return both.select(
         "row",

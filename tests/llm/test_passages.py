@@ -129,7 +129,7 @@ def test_license_beside_a_holder(spark, common):
     assert len(got) == len(files)
     assert {got[f"d/{i}"][0] for i in range(1, 600, 2)} == {"MIT"} and {got[f"d/{i}"][0] for i in range(0, 600, 2)} == {None}
     assert (got["e/1"][0], got["e/2"][0], got["e/3"]) == ("GPL-3.0", None, (None, 0.0))
-    scanned = {r["row"]["path"]: r["detected"] for r in licenses.scan_licenses(df, salts=3).collect()}
+    scanned = {r["row"]["path"]: r["detected"] for r in licenses.scan_licenses(df, hot=3).collect()}
     assert scanned == {p: d for p, (d, _) in got.items()}
     headers = [h for _, t in files if (h := licenses.header(t))]
     df_ = {}
@@ -139,13 +139,35 @@ def test_license_beside_a_holder(spark, common):
     match = licenses.Matcher(df_, len(headers))
     for p, t in files:
         if t:
-            assert got[p][1] == pytest.approx(max(match(x)[1] for x in [t, *licenses.pieces(t)]), abs=1e-12)
+            assert got[p][1] == pytest.approx(max(match(x)[1] for x in licenses.compared(t, False)), abs=1e-12)
+
+
+def test_whole_license_texts_are_named(spark):
+    """Whole texts as licence files, as comments in code, and with a holder's name; those of the system's folder where it has them."""
+    import os
+
+    year = "Copyright (c) 2021, Jane Doe and the Foo Authors. All rights reserved.\n\n"
+    clause = licenses._BSD_TWO.replace(" 2. ", "\n\n2. ")
+    texts = {
+        "MIT": f"MIT License\n\n{year}{licenses._MIT_GRANT}\n\n{licenses._MIT_AS_IS}",
+        "BSD-2-Clause": f"{year}{licenses._BSD_HEAD}\n\n{clause}\n\n{licenses._AS_IS_BSD}",
+        "BSD-3-Clause": f"{year}{licenses._BSD_HEAD}\n\n{clause}\n\n{licenses._BSD_THIRD}\n\n{licenses._AS_IS_BSD}",
+        "ISC": f"{year}{licenses._ISC_GRANT}\n\n{licenses._ISC_AS_IS}",
+    }
+    files = [(f"{n}/LICENSE", t) for n, t in texts.items()]
+    files += [(f"{n}/code.c", "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */\n\nint main() {\n  return 0;\n}\n" + "\n\nint f();" * 50) for n, t in texts.items()]
+    files += [("MIT/short.txt", year + licenses._MIT_GRANT), ("BSD-2-Clause/short.txt", f"{year}{licenses._BSD_HEAD}\n\n{clause}")]
+    for name, file in {"GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0"}.items():
+        if os.path.exists(path := f"/usr/share/common-licenses/{file}"):
+            files.append((f"{name}/COPYING", open(path, encoding="utf-8").read()))
+    got = licenses.scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()
+    assert {r["row"]["path"]: r["detected"] for r in got} == {p: p.split("/")[0] for p, _ in files}
 
 
 def test_license_inheritance(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     files = [("LICENSE", mit), ("a/x.c", "code"), ("a/b/COPYING", gpl), ("a/b/c/y.c", "code"), ("a/b/z.c", mit), ("w.c", None), (None, "t"), ("a/x.c", "code")]
-    got = licenses.scan_licenses(spark.createDataFrame(files, "path string, text string"), salts=3).collect()
+    got = licenses.scan_licenses(spark.createDataFrame(files, "path string, text string"), hot=3).collect()
     found = {r["row"]["path"]: (r["license"], r["how"], r["from_dir"]) for r in got}
     assert len(got) == len(files)
     assert found["a/x.c"] == ("MIT", "directory", "") and found["a/b/c/y.c"] == ("GPL-3.0", "directory", "a/b")
