@@ -4,14 +4,15 @@
 8 x 8 block, quantised by 8, so that any baseline decoder gives the sample back.  The DC code lengths are chosen so
 that code and magnitude bits make nine bits for every sample; the frame can be packed and unpacked as a bit matrix.
 
-``read_avi`` parses RIFF: the stream header, the idx1 index, and the frames it points to.  ``decode_frame`` reads any
-baseline grey JPEG frame; frames of flat blocks with a fixed-width code are decoded together.  ``shots`` cuts where the
-histogram difference of neighbouring frames stands out from those around it.
+``read_avi`` parses RIFF: the stream header, the idx1 index, and the frames it points to.  ``decode_frame`` reads the luma of any
+baseline JPEG frame, grey or colour, of any size and subsampling, with or without restart intervals and tables of its own; frames of flat blocks with a
+fixed-width code are decoded together.  ``shots`` cuts where the histogram difference of neighbouring frames stands out from those around it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloudloom.llm import _words
+
 #: Blocks across and down a frame; a frame holds their product of samples.
 ACROSS, DOWN = 16, 12
 SAMPLES = ACROSS * DOWN
@@ -147,10 +150,10 @@ def read_avi(data: bytes) -> tuple[float, list[bytes]]:
 
 
 def _parse(frame: bytes) -> tuple[dict, bytes]:
-    """The tables and sizes of a baseline frame, and its entropy-coded bytes with the stuffing removed."""
+    """The tables and sizes of a baseline frame, and its entropy-coded bytes."""
     if frame[:2] != b"\xff\xd8":
         raise AviError("no JPEG frame")
-    head: dict = {"q": {}, "h": {}}
+    head: dict = {"q": {}, "h": dict(USUAL_TABLES)}
     at = 2
     while at + 4 <= len(frame):
         _, marker, size = struct.unpack_from(">BBH", frame, at)
@@ -177,10 +180,40 @@ def _parse(frame: bytes) -> tuple[dict, bytes]:
         elif marker == 0xDA:
             head["scan"] = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
             end = frame.rfind(b"\xff\xd9")
-            return head, frame[at : end if end > at else len(frame)].replace(b"\xff\x00", b"\xff")
+            return head, frame[at : end if end > at else len(frame)]
     raise AviError("no scan")
 
 
+#: Restart markers between intervals.
+_RESTART = re.compile(rb"\xff[\xd0-\xd7]")
+
+
+# The usual Huffman tables of baseline JPEG, codes of each length and their values: DC and AC of luma (0), of chroma (1).
+_DC_VALUES = tuple(range(12))
+_AC_LUMA = (
+    0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1, 0x08, 0x23, 0x42, 0xB1, 0xC1,
+    0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82, 0x09, 0x0A, 0x16, 0x17, 0x18, 0x19, 0x1A, 0x25, 0x26, 0x27, 0x28, 0x29, 0x2A, 0x34, 0x35, 0x36, 0x37, 0x38, 0x39,
+    0x3A, 0x43, 0x44, 0x45, 0x46, 0x47, 0x48, 0x49, 0x4A, 0x53, 0x54, 0x55, 0x56, 0x57, 0x58, 0x59, 0x5A, 0x63, 0x64, 0x65, 0x66, 0x67, 0x68, 0x69, 0x6A, 0x73, 0x74, 0x75,
+    0x76, 0x77, 0x78, 0x79, 0x7A, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x92, 0x93, 0x94, 0x95, 0x96, 0x97, 0x98, 0x99, 0x9A, 0xA2, 0xA3, 0xA4, 0xA5, 0xA6, 0xA7,
+    0xA8, 0xA9, 0xAA, 0xB2, 0xB3, 0xB4, 0xB5, 0xB6, 0xB7, 0xB8, 0xB9, 0xBA, 0xC2, 0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8, 0xC9, 0xCA, 0xD2, 0xD3, 0xD4, 0xD5, 0xD6, 0xD7, 0xD8,
+    0xD9, 0xDA, 0xE1, 0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEA, 0xF1, 0xF2, 0xF3, 0xF4, 0xF5, 0xF6, 0xF7, 0xF8, 0xF9, 0xFA,
+)
+_AC_CHROMA = (
+    0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81, 0x08, 0x14, 0x42, 0x91, 0xA1, 0xB1, 0xC1, 0x09,
+    0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1, 0x17, 0x18, 0x19, 0x1A, 0x26, 0x27, 0x28, 0x29, 0x2A, 0x35, 0x36, 0x37, 0x38,
+    0x39, 0x3A, 0x43, 0x44, 0x45, 0x46, 0x47, 0x48, 0x49, 0x4A, 0x53, 0x54, 0x55, 0x56, 0x57, 0x58, 0x59, 0x5A, 0x63, 0x64, 0x65, 0x66, 0x67, 0x68, 0x69, 0x6A, 0x73, 0x74,
+    0x75, 0x76, 0x77, 0x78, 0x79, 0x7A, 0x82, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x92, 0x93, 0x94, 0x95, 0x96, 0x97, 0x98, 0x99, 0x9A, 0xA2, 0xA3, 0xA4, 0xA5,
+    0xA6, 0xA7, 0xA8, 0xA9, 0xAA, 0xB2, 0xB3, 0xB4, 0xB5, 0xB6, 0xB7, 0xB8, 0xB9, 0xBA, 0xC2, 0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8, 0xC9, 0xCA, 0xD2, 0xD3, 0xD4, 0xD5, 0xD6,
+    0xD7, 0xD8, 0xD9, 0xDA, 0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEA, 0xF2, 0xF3, 0xF4, 0xF5, 0xF6, 0xF7, 0xF8, 0xF9, 0xFA,
+)
+USUAL_TABLES = {
+    0x00: ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), _DC_VALUES),
+    0x10: ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), _AC_LUMA),
+    0x01: ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), _DC_VALUES),
+    0x11: ((0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), _AC_CHROMA),
+}
+
+
 _ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 _COS = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for u in range(8)] for x in range(8)])
 
@@ -196,56 +229,95 @@ def _codebook(table: tuple) -> dict[tuple[int, int], int]:
     return book
 
 
-def decode_frame(frame: bytes) -> np.ndarray:
-    """The grey levels (height, width) of a baseline JPEG frame; of a colour frame without subsampling, its luma."""
-    head, data = _parse(frame)
-    if head.get("restart") or any(x[1] != 0x11 for x in head["components"]):
-        raise AviError("restart intervals and subsampling are not read")
-    bits = np.unpackbits(np.frombuffer(data, np.uint8)).tolist()
-    books = {k: _codebook(t) for k, t in head["h"].items()}
-    at = 0
+class _Bits:
+    """Reads codes and numbers from entropy-coded bytes."""
+
+    def __init__(self, data: bytes):
+        self.data = data.replace(b"\xff\x00", b"\xff")
+        self.at = 0
 
-    def symbol(book):
-        nonlocal at
+    def take(self, n: int) -> int:
+        """The next n bits, 16 at most."""
+        begin, self.at = self.at, self.at + n
+        if self.at > 8 * len(self.data):
+            raise AviError("too few bits")
+        return int.from_bytes(self.data[begin >> 3 : (begin >> 3) + 3].ljust(3, b"\0"), "big") >> (24 - (begin & 7) - n) & (1 << n) - 1
+
+    def symbol(self, book: dict[tuple[int, int], int]) -> int:
         code = 0
         for length in range(1, 17):
-            code = code << 1 | bits[at]
-            at += 1
+            code = code << 1 | self.take(1)
             if (length, code) in book:
                 return book[length, code]
         raise AviError("bad code")
 
-    def value(n):
-        nonlocal at
-        v = int("".join(map(str, bits[at : at + n])) or "0", 2)
-        at += n
+    def value(self, n: int) -> int:
+        v = self.take(n) if n else 0
         return v if n == 0 or v >> (n - 1) else v - (1 << n) + 1
 
-    rows, cols = -(-head["height"] // 8), -(-head["width"] // 8)
-    out, last = np.zeros((rows * 8, cols * 8)), {}
-    for block in range(rows * cols):
-        for i, (c, tables) in enumerate(head["scan"]):
-            zz = np.zeros(64)
-            last[c] = zz[0] = last.get(c, 0) + value(symbol(books[tables >> 4]))
-            k = 1
-            while k < 64:
-                s = symbol(books[0x10 | tables & 15])
-                if s == 0:
-                    break
-                k += s >> 4
-                zz[k] = value(s & 15)
-                k += 1
-            if i == 0:
-                zz *= head["q"][next(x[2] for x in head["components"] if x[0] == c)]
-                grid = np.zeros(64)
-                grid[_ZIGZAG] = zz
-                y, x = divmod(block, cols)
-                out[y * 8 : y * 8 + 8, x * 8 : x * 8 + 8] = _COS @ grid.reshape(8, 8) @ _COS.T
-    return np.clip(np.rint(out + 128), 0, 255).astype(np.uint8)[: head["height"], : head["width"]]
+
+def decode_frame(frame: bytes) -> np.ndarray:
+    """The luma (height, width) of a baseline JPEG frame.
+
+    Frames without Huffman tables, as cameras store them in AVI, are read with the usual ones.  A scan holds all components, or luma alone.
+    """
+    head, data = _parse(frame)
+    books = {k: _codebook(t) for k, t in head["h"].items()}
+    kinds = {c: (size >> 4, size & 15, q) for c, size, q in head["components"]}
+    scan = [(c, tables, *kinds[c][:2]) for c, tables in head["scan"]]
+    luma = head["components"][0][0]
+    if luma not in [c for c, *_ in scan]:
+        raise AviError("the first scan has no luma")
+    if len(scan) == 1:
+        scan = [(luma, scan[0][1], 1, 1)]
+    across, down = (max(x[k] for x in scan) for k in (2, 3))
+    own_across, own_down = next((x[2], x[3]) for x in scan if x[0] == luma)
+    # units across and down a frame, each of all components' blocks; luma has the finest grid in every usual frame
+    cols, rows = -(-head["width"] // (8 * across)), -(-head["height"] // (8 * down))
+    out = np.zeros((rows * own_down * 8, cols * own_across * 8))
+    q = head["q"][kinds[luma][2]]
+    every = head.get("restart") or rows * cols
+    parts = _RESTART.split(data)
+    for unit in range(rows * cols):
+        if unit % every == 0:
+            if unit // every >= len(parts):
+                raise AviError("an interval is missing")
+            bits, last = _Bits(parts[unit // every]), {}
+        for c, tables, h, v in scan:
+            for block in range(h * v):
+                zz = np.zeros(64)
+                last[c] = zz[0] = last.get(c, 0) + bits.value(bits.symbol(books[tables >> 4]))
+                k = 1
+                while k < 64:
+                    s = bits.symbol(books[0x10 | tables & 15])
+                    if s == 0:
+                        break
+                    k += s >> 4
+                    if k > 63:
+                        raise AviError("bad run")
+                    zz[k] = bits.value(s & 15)
+                    k += 1
+                if c == luma:
+                    grid = np.zeros(64)
+                    grid[_ZIGZAG] = zz * q
+                    y, x = unit // cols * v + block // h, unit % cols * h + block % h
+                    out[y * 8 : y * 8 + 8, x * 8 : x * 8 + 8] = _COS @ grid.reshape(8, 8) @ _COS.T
+    picture = np.clip(np.rint(out + 128), 0, 255).astype(np.uint8)
+    height, width = -(-head["height"] * own_down // down), -(-head["width"] * own_across // across)
+    return picture[:height, :width]
+
+
+def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
+    """Of each frame the samples: of this module's frames one for each flat block, of others the luma, whatever its size."""
+    out: list[np.ndarray | None] = [None] * len(frames)
+    own = [i for i, f in enumerate(frames) if f.startswith(_HEAD)]
+    for i, samples in zip(own, decode_samples([frames[i] for i in own])):
+        out[i] = samples
+    return [decode_frame(f).ravel() if x is None else x for f, x in zip(frames, out)]
 
 
 def decode_samples(frames: list[bytes]) -> np.ndarray:
-    """The samples (frames, SAMPLES) of frames of flat blocks: one level for each 8 x 8 block.
+    """The samples (frames, SAMPLES) of frames of flat blocks as ``encode_frames`` lays them out: one level for each 8 x 8 block.
 
     Frames with this module's header hold ten bits a block and are decoded together; others one by one.
     """
@@ -261,28 +333,35 @@ def decode_samples(frames: list[bytes]) -> np.ndarray:
         nine = ten.reshape(len(fixed), SAMPLES) >> 1
         out[fixed] = (np.cumsum(_DIFFERENCE[nine], axis=1) + 128).astype(np.uint8)
     for i in set(range(len(frames))) - set(fixed):
-        out[i] = decode_frame(frames[i])[::8, ::8].reshape(-1)
+        levels = decode_frame(frames[i])[::8, ::8].reshape(-1)
+        if len(levels) != SAMPLES:
+            raise AviError("a frame of another size")
+        out[i] = levels
     return out
 
 
-def shots(samples: np.ndarray) -> list[tuple[int, int]]:
-    """(first, last + 1) frames of each shot.
+def shots(samples: np.ndarray | list[np.ndarray]) -> list[tuple[int, int]]:
+    """(first, last + 1) frames of each shot, of one row of samples a frame; frames may differ in size.
 
-    The difference of two neighbouring frames is half the sum of the absolute differences of their histograms.  A cut is a difference that is
-    the greatest near it and exceeds the mean of the AROUND differences on either side by DEVIATIONS of their deviations.
+    The difference of two neighbouring frames is half the sum of the absolute differences of their histograms, in samples of the larger one.  A cut is a difference that exceeds
+    the mean of the AROUND differences on either side by DEVIATIONS of their deviations, and a sixteenth of the samples.
     """
     n = len(samples)
     if n < 2:
         return [(0, n)] if n else []
-    at = (samples >> 4).astype(np.int64) + np.arange(n)[:, None] * BINS
-    hist = np.bincount(at.ravel(), minlength=n * BINS).reshape(n, BINS)
+    if isinstance(samples, np.ndarray):
+        at = (samples >> 4).astype(np.int64) + np.arange(n)[:, None] * BINS
+        hist, size = np.bincount(at.ravel(), minlength=n * BINS).reshape(n, BINS), samples.shape[1]
+    else:
+        size = max(map(len, samples))
+        hist = np.stack([np.bincount(x >> 4, minlength=BINS) * size // max(1, len(x)) for x in samples])
     diff = np.abs(np.diff(hist, axis=0)).sum(1) // 2  # whole numbers: equal texts, equal values
     one, two = np.concatenate(([0], np.cumsum(diff))), np.concatenate(([0], np.cumsum(diff * diff)))
     lo, hi = np.maximum(0, np.arange(n - 1) - AROUND), np.minimum(n - 1, np.arange(n - 1) + AROUND + 1)
     near = np.maximum(hi - lo - 1, 1)
     mean = (one[hi] - one[lo] - diff) / near
     spread = np.sqrt(np.maximum((two[hi] - two[lo] - diff * diff) / near - mean * mean, 0))
-    cuts = np.flatnonzero((diff > mean + DEVIATIONS * spread) & (diff > SAMPLES // 16)) + 1
+    cuts = np.flatnonzero((diff > mean + DEVIATIONS * spread) & (diff > size // 16)) + 1
     edges = [0, *cuts.tolist(), n]
     return list(zip(edges[:-1], edges[1:]))
 
@@ -295,15 +374,17 @@ def payload(text: bytes) -> bytes:
 def with_media(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` (text) as the struct ``row``, with media (an AVI file of its text) and n_bytes.
 
-    A null text is empty.  Equal texts give equal files.
+    A null text is empty, and an empty one is stored as a frame of spaces.  Equal texts give equal files.  Rows that repeat are rows of their own, an
+    empty table gives an empty one.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"))
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            media = [write_avi(np.frombuffer(payload(t), np.uint8).reshape(-1, SAMPLES)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary()), pa.array(map(len, texts), pa.int64())], ["row", "media", "n_bytes"])
+            texts = _words.to_bytes(batch.column(1))
+            for g in _words.groups(texts, 64 << 20):  # far below the 2 GB of an Arrow column
+                media = [write_avi(np.frombuffer(payload(t), np.uint8).reshape(-1, SAMPLES)) for t in texts[g]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(g.start, len(media)), pa.array(media, pa.binary()), pa.array(map(len, texts[g]), pa.int64())], ["row", "media", "n_bytes"])
 
     return rows.mapInArrow(stored, T.StructType([rows.schema["row"], *T._parse_datatype_string("media binary, n_bytes long").fields]))
 
@@ -312,10 +393,10 @@ _CLIP = pa.struct([("begin_s", pa.float64()), ("end_s", pa.float64()), ("first",
 
 
 def read_media(rows: DataFrame, column: str = "media") -> DataFrame:
-    """Each row of ``rows`` as the struct ``row``, with samples (the stored bytes), fps, clips and error.
+    """Each row of ``rows`` as the struct ``row``, with samples (the stored bytes; of foreign files the luma of all frames), fps, clips and error.
 
     ``column`` holds AVI files; a clip is (begin_s, end_s, first, frames), a shot with its times.  A null file and one that can't be read give no
-    samples and clips, and the reason in error.
+    samples and clips, and the reason in error.  Rows that repeat are rows of their own, an empty table gives an empty one.
     """
     packed = rows.select(F.struct("*").alias("row"), F.col(column).alias("m"))
     schema = T.StructType([packed.schema["row"], *T._parse_datatype_string("samples binary, fps double, clips array<struct<begin_s:double,end_s:double,first:long,frames:long>>, error string").fields])
@@ -325,12 +406,12 @@ def read_media(rows: DataFrame, column: str = "media") -> DataFrame:
             if data is None:
                 return None, None, None, "no file"
             fps, frames = read_avi(data)
-            samples = decode_samples(frames)
+            samples = decode_frames(frames)
         except (AviError, struct.error, ValueError, KeyError, IndexError) as e:
             return None, None, None, str(e)
         rate = fps or 1.0
         clips = [{"begin_s": a / rate, "end_s": b / rate, "first": a, "frames": b - a} for a, b in shots(samples)]
-        return samples.tobytes(), fps, clips, None
+        return b"".join([x.tobytes() for x in samples]), fps, clips, None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -91,7 +91,7 @@ KINDS = (
     Kind("card", CARD, "[0-9][ -]?[0-9]", _card_ok, True, 0.6, "(?i)card|visa|credit|payment"),
     Kind("phone", PHONE, r"\+[0-9]", _phone_ok, True, 0.5, "(?i)phone|tel|call|mobile|fax"),
     Kind("iban", IBAN, "[A-Z]{2}[0-9]{2}", mod97, False, 0.7, "(?i)iban|account|bank"),
-    Kind("secret", SECRET, "[A-Za-z0-9_+/-]{20}", _mixed, False, 0.4, "(?i)token|secret|passw|api.?key|access.?key|private.?key|credential|bearer|auth", 0.6),
+    Kind("secret", SECRET, "(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20}", _mixed, False, 0.4, "(?i)token|secret|passw|api.?key|access.?key|private.?key|credential|bearer|auth", 0.6),
 )
 
 _EMPTY = "cast(array() as array<struct<start:int,rank:int,kind:string,end:int,found:string,score:double>>)"

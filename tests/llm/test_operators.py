@@ -441,6 +441,127 @@ def test_frames_decode_alike():
     assert (avi.decode_samples([other, frames[1]]) == samples[:2]).all()
 
 
+def _jpeg(width, height, sampling, restart=0, own_tables=False, seed=1):
+    """A small encoder for the tests: a colour JPEG with the usual tables, and the luma that a decoder should give."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    h, v = sampling
+    q = np.array([3 + i // 4 for i in range(64)])
+    code_of = {}
+    for t, (counts, values) in avi.USUAL_TABLES.items():
+        code = k = 0
+        for length, n in enumerate(counts, 1):
+            for _ in range(n):
+                code_of[t, values[k]] = f"{code:0{length}b}"
+                code, k = code + 1, k + 1
+            code <<= 1
+    number = lambda x, n: f"{x if x > 0 else x + (1 << n) - 1:0{n}b}" if n else ""
+    cols, rows = -(-width // (8 * h)), -(-height // (8 * v))
+    luma = np.zeros((rows * v * 8, cols * h * 8))
+    cos = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for u in range(8)] for x in range(8)])
+    out, bits, last = b"", "", {}
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        data = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+        bits = ""
+        return data
+
+    for unit in range(rows * cols):
+        if restart and unit and unit % restart == 0:
+            out += flush() + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
+            last = {}
+        for c, n in ((0, h * v), (1, 1), (2, 1)):
+            for block in range(n):
+                zz = np.zeros(64, int)
+                zz[0] = rng.integers(-60, 60)
+                for k in rng.choice(np.arange(1, 64), 5, replace=False):
+                    zz[k] = rng.integers(-6, 7)
+                t, diff = min(c, 1), int(zz[0] - last.get(c, 0))
+                last[c] = int(zz[0])
+                size = abs(diff).bit_length()
+                bits += code_of[t, size] + number(diff, size)
+                run = 0
+                for k in range(1, 64):
+                    if zz[k] == 0:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits += code_of[0x10 | t, 0xF0]
+                        run -= 16
+                    size = abs(int(zz[k])).bit_length()
+                    bits += code_of[0x10 | t, run << 4 | size] + number(int(zz[k]), size)
+                    run = 0
+                if run:
+                    bits += code_of[0x10 | t, 0]
+                if c == 0:
+                    grid = np.zeros(64)
+                    grid[avi._ZIGZAG] = zz * q
+                    y, x = unit // cols * v + block // h, unit % cols * h + block % h
+                    luma[y * 8 : y * 8 + 8, x * 8 : x * 8 + 8] = cos @ grid.reshape(8, 8) @ cos.T
+    out += flush()
+    size = avi.struct.pack(">BHHB", 8, height, width, 3) + bytes([1, h << 4 | v, 0, 2, 0x11, 0, 3, 0x11, 0])
+    tables = b"".join(avi._segment(0xC4, bytes([t, *counts, *values])) for t, (counts, values) in avi.USUAL_TABLES.items()) if own_tables else b""
+    head = b"\xff\xd8" + avi._segment(0xDB, bytes([0, *q])) + avi._segment(0xC0, size) + tables + (avi._segment(0xDD, avi.struct.pack(">H", restart)) if restart else b"")
+    data = head + avi._segment(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0])) + out + b"\xff\xd9"
+    return data, np.clip(np.rint(luma + 128), 0, 255).astype(np.uint8)[:height, :width]
+
+
+@pytest.mark.parametrize("width,height,sampling,restart,own", [(64, 48, (1, 1), 0, True), (50, 37, (2, 2), 0, False), (40, 24, (2, 1), 0, False), (48, 32, (2, 2), 2, False)])
+def test_camera_frames(spark, width, height, sampling, restart, own):
+    """Colour frames of any size: 4:4:4, 4:2:0 and 4:2:2, with and without tables and restart intervals; and a file of them."""
+    import numpy as np
+
+    assert [len(t[1]) for t in avi.USUAL_TABLES.values()] == [sum(t[0]) for t in avi.USUAL_TABLES.values()]
+    frames = [_jpeg(width, height, sampling, restart, own, seed) for seed in (1, 2, 3)]
+    for frame, luma in frames:
+        assert (avi.decode_frame(frame) == luma).all()
+    ours = avi.write_avi(np.zeros((3, avi.SAMPLES), np.uint8))
+    fps, own_frames = avi.read_avi(ours)
+    assert [len(x) for x in avi.decode_frames([own_frames[0], frames[0][0]])] == [avi.SAMPLES, width * height]
+    assert avi.shots([luma.ravel() for _, luma in frames])[0][0] == 0
+
+
+def test_foreign_file(spark):
+    """A file of 64 x 48 frames: its luma and its cut, where the level jumps."""
+    import numpy as np
+
+    flat = {level: _jpeg(64, 48, (2, 2), seed=level) for level in (5, 6)}
+    frames = [flat[5][0]] * 12 + [flat[6][0]] * 9
+    chunk = lambda name, body: avi.struct.pack("<4sI", name, len(body)) + body + b"\0" * (len(body) % 2)
+    movi = chunk(b"LIST", b"movi" + b"".join(chunk(b"00dc", f) for f in frames))
+    head = chunk(b"LIST", b"hdrl" + chunk(b"avih", avi.struct.pack("<14I", 40_000, *[0] * 13)))
+    data = chunk(b"RIFF", b"AVI " + head + movi)
+    got = avi.read_media(spark.createDataFrame([(bytearray(data),)], "media binary")).first()
+    assert got["error"] is None and got["fps"] == 25 and len(got["samples"]) == 21 * 64 * 48
+    assert bytes(got["samples"][: 64 * 48]) == flat[5][1].tobytes()
+    assert np.abs(np.diff([np.histogram(flat[k][1], 16)[0] for k in (5, 6)], axis=0)).sum() // 2 > 64 * 48 // 16
+    assert [(c["begin_s"], c["frames"]) for c in got["clips"]] == [(0.0, 12), (0.48, 9)]
+
+
+def test_media_digests_are_of_the_file(spark):
+    """Stored bytes, their digest and the feature of the query, against files that are written, decoded frame by frame and cut one after the other."""
+    import numpy as np
+
+    got = {r["doc_id"]: r for r in queries.op9_avi_media(spark, SF).collect()}
+    for d, t, *_ in sorted(table(), key=lambda r: len(r[1] or ""))[:60:6]:
+        media = avi.write_avi(np.frombuffer(avi.payload((t or "").encode()), np.uint8).reshape(-1, avi.SAMPLES))
+        frames = avi.read_avi(media)[1]
+        levels = [avi.decode_frame(f)[::8, ::8].ravel() for f in frames]
+        diffs = [sum(abs(int(a) - int(b)) for a, b in zip(np.histogram(x, 16, (0, 256))[0], np.histogram(y, 16, (0, 256))[0])) // 2 for x, y in zip(levels, levels[1:])]
+        cuts = [0]
+        for i, x in enumerate(diffs):
+            near = diffs[max(0, i - avi.AROUND) : i] + diffs[i + 1 : i + 1 + avi.AROUND]
+            mean = sum(near) / max(1, len(near))
+            spread = max(0, sum(y * y for y in near) / max(1, len(near)) - mean * mean) ** 0.5
+            cuts += [i + 1] if x > mean + avi.DEVIATIONS * spread and x > avi.SAMPLES // 16 else []
+        r = got[d]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r["feature"] == ";".join(f"{a}-{b}" for a, b in zip(cuts, [*cuts[1:], len(frames)]))
+
+
 def test_avi_reads_back():
     import numpy as np
 
