@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions import patterns
 from cloudloom.functions import scalar as S
-from cloudloom.operators import regions, spatial, stats, timeseries
+from cloudloom.operators import regions, sampling, spatial, stats, timeseries
+from cloudloom.operators.tables import written
 
 
 @dataclass(frozen=True)
@@ -127,17 +128,14 @@ def _walk(rows: pd.DataFrame, bake: Bake) -> Iterator[tuple]:
 def suggest_emitters(support: DataFrame, existing: DataFrame, *, radius: float, least: float = 0.62, k: int = 16) -> list[tuple]:
     """Places for emitters: confident, not near existing ones, above their neighbours, spaced out.
 
-    Scores are made by Spark; of the best 64 k the greedy spacing takes k.
+    Scores are made by Spark; the greedy spacing takes k, however many near ones come before (S11).
     """
     good = support.where(F.col("confidence") >= 0.56).withColumn("candidate_id", F.col("point_index"))
     free = spatial.exclude_near(good, existing, radius)
     pairs = spatial.neighbour_pairs(free.select("point_index", "x", "y", "z"), support.select("point_index", "x", "y", "z"), radius).where(F.col("l_point_index") != F.col("r_point_index"))
     above = pairs.groupBy(F.col("l_point_index").alias("point_index")).agg(F.avg(S.clamp((F.col("l_z") - F.col("r_z")) / radius, -1.0, 1.0)).alias("drop"), F.count(F.lit(1)).alias("n"))
     scored = free.join(above, "point_index").withColumn("score", 0.5 * F.col("confidence") + 0.35 * S.clamp(F.col("drop") + 0.5) + 0.15 * S.clamp(F.col("n") / 8.0)).where(F.col("score") >= least)
-    from cloudloom.operators.sampling import greedy_spaced
-
-    top = scored.orderBy(F.desc("score"), "point_index").limit(64 * k).select("score", "x", "y", "z", "point_index").collect()
-    return greedy_spaced([tuple(r) for r in top], radius * 2, k)
+    return sampling.spaced(written(scored.select("score", "x", "y", "z", "point_index")), radius * 2, k)
 
 
 def anchor_points(branches: DataFrame, support: DataFrame) -> DataFrame:
@@ -343,18 +341,19 @@ _LINE = "seed_id long, seq long, point_index long"
 
 
 def field_walks(nodes: DataFrame, seeds: DataFrame, radius: float, steps: int = 256) -> DataFrame:
-    """From each seed (seed_id, point_index), 96 at most, the walk over each node's best next one.
+    """From each seed (seed_id, point_index), the 96 of the smallest seed_id at most, the walk over each node's best next one.
 
     Walks follow one link a node, so they are found by doubling: after k rounds every node knows the node 2 ** k steps on, and a seed's walk is
     read off for all steps at once.  Each round is one join of the nodes with themselves.
     """
-    links = spatial.next_field_node(nodes, radius).select("point_index", F.col("next")).cache()
-    walks = seeds.limit(96).select("seed_id", F.lit(0).cast("long").alias("seq"), "point_index")
+    links = spatial.next_field_node(nodes, radius).select("point_index", F.col("next"))
+    links = written(links)
+    walks = seeds.orderBy("seed_id").limit(96).select("seed_id", F.lit(0).cast("long").alias("seq"), "point_index")
     jump, span = links, 1
     while span < steps:
         on = walks.join(jump, "point_index").select("seed_id", (F.col("seq") + span).alias("seq"), F.col("next").alias("point_index"))
-        walks = walks.unionByName(on).cache()
-        jump = jump.join(jump.select(F.col("point_index").alias("next"), F.col("next").alias("far")), "next").select("point_index", F.col("far").alias("next")).cache()
+        walks = written(walks.unionByName(on))
+        jump = written(jump.join(jump.select(F.col("point_index").alias("next"), F.col("next").alias("far")), "next").select("point_index", F.col("far").alias("next")))
         span *= 2
     # A walk that meets itself ends there.
     first = walks.groupBy("seed_id", "point_index").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))

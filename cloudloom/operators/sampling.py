@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions import scalar as S
 from cloudloom.operators import stats
+from cloudloom.operators.tables import written
 
 #: 64-bit golden ratio.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -51,13 +52,14 @@ def stratified(ordered: DataFrame, n: int, k: int) -> DataFrame:
     return ordered.where(F.col("rank") == middle).select("point_index")
 
 
-def ranked(df: DataFrame, order: Sequence[str], slabs: int = 64) -> DataFrame:
+def ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Adds ``rank``, 0 and up over the whole table, without sorting it in one task.
 
-    Rows are range-partitioned; a partition's rows are numbered from the sum of the partitions before it.
+    Rows are range-partitioned, to as many partitions as the session shuffles to; a partition's rows are numbered from the sum of the partitions before it.  The
+    numbered rows are written before they are counted: two plans of one range exchange may sample different bounds.
     """
-    parts = df.repartitionByRange(slabs, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id())
-    parts = parts.withColumn("n", F.col("n").bitwiseAND(F.lit((1 << 33) - 1)))
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id())
+    parts = written(parts.withColumn("n", F.col("n").bitwiseAND(F.lit((1 << 33) - 1))))
     counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
     before = counts.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return parts.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("n")).drop("part", "n", "before")
@@ -82,7 +84,7 @@ def spatial_sample(points: DataFrame, requested: int) -> DataFrame | None:
     depth = 0 if k <= 1 else min(MAX_DEPTH, need(k))
     best, best_n, best_depth = None, 0, depth
     while True:
-        cells = stats.voxel_representatives(points, flat, depth).cache()
+        cells = written(stats.voxel_representatives(points, flat, depth))
         n = cells.count()
         if n > best_n:
             best, best_n, best_depth = cells, n, depth
@@ -164,6 +166,25 @@ def greedy_spaced(candidates: Sequence[tuple], radius: float, k: int) -> list[tu
     return taken
 
 
+def spaced(candidates: DataFrame, radius: float, k: int, *, block: int = 1024) -> list[tuple]:
+    """S11 over a table (score, x, y, z, point_index): blocks of the best candidates until k are taken or none is left.
+
+    What lies within the radius of a taken one is filtered out by Spark before the next block is fetched, so a block never holds more than ``block`` rows and no
+    candidate is passed over.
+    """
+    taken: list[tuple] = []
+    while len(taken) < k:
+        left = candidates
+        for _, x, y, z, _ in taken:
+            dx, dy, dz = F.col("x") - x, F.col("y") - y, F.col("z") - z
+            left = left.where(dx * dx + dy * dy + dz * dz > radius * radius)
+        best = left.orderBy(F.desc("score"), "x", "y", "z", "point_index").limit(block).select("score", "x", "y", "z", "point_index").collect()
+        taken += greedy_spaced([tuple(r) for r in best], radius, k - len(taken))
+        if len(best) < block:
+            break
+    return taken
+
+
 def convex_hull(vertices: Sequence[tuple[float, float]], near: float = 1e-5) -> list[tuple[float, float]]:
     """Sorted, near-duplicates dropped, then the monotone chain, counter-clockwise."""
     at: list[tuple[float, float]] = []

@@ -159,9 +159,9 @@ def a15(spark, d):
 
 # Samples, orders
 
-@query("s2_coprime_sample", "WITH t AS (SELECT 15000::bigint AS n) SELECT DISTINCT ((11400714819323198485::hugeint % n + i * 7501) % n)::bigint AS point_index FROM t, range(1000) r(i)")
+@query("s2_coprime_sample", "WITH t AS (SELECT count(*) AS n FROM orders), s AS (SELECT n, min(c) AS step FROM t, range(0, 200) r(k), LATERAL (SELECT (n // 2 | 1) + 2 * k AS c) WHERE gcd(c, n) = 1 GROUP BY 1) SELECT DISTINCT ((11400714819323198485::hugeint % n + i * step) % n)::bigint AS point_index FROM s, range(1000) r(i)")
 def s2(spark, d):
-    return sampling.coprime_sample(spark, 15000, 1000)
+    return sampling.coprime_sample(spark, V.table(spark, d, "orders").count(), 1000)
 
 
 _RANKED_Q = f"(SELECT *, row_number() OVER (ORDER BY v, point_index) - 1 AS rank, count(*) OVER () AS n FROM {V.Q})"
@@ -190,9 +190,9 @@ def s5(spark, d):
     return V.cloud_p(spark, d).select("point_index", S.morton(keys, 6).alias("morton"))
 
 
-@query("s7_decimate", "SELECT i * 15000 // 777 AS point_index FROM range(777) r(i)")
+@query("s7_decimate", "SELECT i * (SELECT count(*) FROM orders) // 777 AS point_index FROM range(777) r(i)")
 def s7(spark, d):
-    return sampling.decimate(spark, 15000, 777)
+    return sampling.decimate(spark, V.table(spark, d, "orders").count(), 777)
 
 
 @query("s8_stride_sample", f"SELECT point_index, x FROM {V.P} WHERE point_index % ceil((SELECT count(*) FROM orders) / 1000)::bigint = 0")
@@ -208,8 +208,8 @@ def s9(spark, d):
 
 @query("s11_greedy_spaced")
 def s11(spark, d):
-    top = V.flat_q(spark, d).orderBy(F.desc("v"), "point_index").limit(200).select("v", "x", "y", "z", "point_index").collect()
-    return spark.createDataFrame([(t[4],) for t in sampling.greedy_spaced([tuple(r) for r in top], 0.1, 10)], "point_index long")
+    top = sampling.spaced(V.flat_q(spark, d).withColumnRenamed("v", "score"), 0.1, 10)
+    return spark.createDataFrame([(t[4],) for t in top], "point_index long")
 
 
 @query("o1_node_order", f"SELECT path_id, event_id, (row_number() OVER w - 1)::bigint AS seq, round(y - first(y) OVER w, 6) AS station FROM {V.PATHS} WINDOW w AS (PARTITION BY path_id ORDER BY round(y, 5), round(z, 5), x, event_id)")
@@ -809,9 +809,9 @@ def e33(spark, d):
     return _round(timeseries.segment_weights(p).select("path_id", "seq", "weight"))
 
 
-@query("e36_still_sequence", f"SELECT point_index, i::int AS frame FROM {V.Q}, range(60) r(i) WHERE point_index < 5")
+@query("e36_still_sequence", f"SELECT point_index, i::int AS frame FROM {V.Q}, range(60) r(i)")
 def e36(spark, d):
-    return timeseries.still_frames(V.cloud_q(spark, d).where("point_index < 5").select("point_index"), 2.5, 24)
+    return timeseries.still_frames(V.cloud_q(spark, d).select("point_index"), 2.5, 24)
 
 
 @query("e37_camera_sequence", f"WITH s AS (SELECT path_id, seq, 1 + event_id % 5 AS frames, coalesce(sum(1 + event_id % 5) OVER (PARTITION BY path_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS b, lead(seq) OVER (PARTITION BY path_id ORDER BY seq) IS NULL AS last FROM {V.PATHS}) SELECT path_id, seq, b + i AS frame, round(i / frames, 6) AS t FROM s, range(6) r(i) WHERE i < frames + last::int")
@@ -927,9 +927,11 @@ def a23(spark, d):
     return _round(raster.eye_dome(V.pixels(spark, d), thickness=1.5, strength=0.8).select("ix", "iy", "shade"))
 
 
-@query("a24_downsample", f"SELECT (ix // 2)::int AS ix, (iy // 2)::int AS iy, round(sum(r * alpha) / sum(alpha), 6) AS r, round(sum(alpha) / 4, 6) AS alpha, round(sum(depth * greatest(alpha, 0.001)) / sum(greatest(alpha, 0.001)), 6) AS depth FROM {V.PIXELS} GROUP BY 1, 2")
+@query("a24_downsample", f"SELECT (ix // 2)::int AS ix, (iy // 2)::int AS iy, round(CASE WHEN sum(alpha) > 1e-6 THEN sum(r * alpha) / sum(alpha) ELSE 0 END, 6) AS r, round(sum(alpha) / 4, 6) AS alpha, round(sum(depth * greatest(alpha, 0.001)) / sum(greatest(alpha, 0.001)), 6) AS depth FROM {V.PIXELS} GROUP BY 1, 2")
 def a24(spark, d):
-    return _round(raster.downsample(V.pixels(spark, d), 64, 64, 32, 32).select("ix", "iy", "r", "alpha", "depth"))
+    p = V.pixels(spark, d)
+    half = (p.agg(F.max("iy")).first()[0] or 0) // 2 + 1
+    return _round(raster.downsample(p, 64, 2 * half, 32, half).select("ix", "iy", "r", "alpha", "depth"))
 
 
 @query("r6_fast_render")
@@ -959,7 +961,7 @@ def _bake_inputs(spark, d):
     q = V.flat_q(spark, d).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)})
     bake = paths.Bake(voxel=0.02, bridge=0.05, radius=0.06, length=0.5, steps=24, branches=4)
     support = paths.support_graph(q, q.count(), bake)
-    e = _suppliers(spark, d).where("query_id < 10").withColumnRenamed("query_id", "emitter_id")
+    e = _suppliers(spark, d).withColumnRenamed("query_id", "emitter_id")
     return support, e, bake
 
 
@@ -982,7 +984,7 @@ def g6(spark, d):
     return spark.createDataFrame([(float(f[0]), int(f[4])) for f in found] or [], "score double, point_index long")
 
 
-@query("g7_snap_emitters", f"SELECT query_id AS emitter_id, point_index AS start FROM (SELECT query_id, point_index, {_D2} AS d2 FROM {V.FLAT_Q} p, {_SUP} q WHERE query_id < 10) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d2, point_index) = 1")
+@query("g7_snap_emitters", f"SELECT query_id AS emitter_id, point_index AS start FROM (SELECT query_id, point_index, {_D2} AS d2 FROM {V.FLAT_Q} p, {_SUP} q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d2, point_index) = 1")
 def g7(spark, d):
     support, e, bake = _bake_inputs(spark, d)
     return paths.snap_emitters(e, support, bake.radius)
@@ -1046,7 +1048,7 @@ def g17(spark, d):
 @query("g18_field_walks")
 def g18(spark, d):
     n = V.flat_q(spark, d).withColumns({"dx": F.lit(1.0), "dy": F.lit(0.0), "dz": F.lit(0.0), "confidence": F.lit(1.0)})
-    seeds = n.where("point_index < 20").select(F.col("point_index").alias("seed_id"), "point_index")
+    seeds = n.select(F.col("point_index").alias("seed_id"), "point_index")
     return paths.field_walks(n, seeds, 0.05, 32)
 
 

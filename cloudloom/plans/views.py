@@ -78,10 +78,10 @@ FRAGMENTS = f"(SELECT point_index, (point_index % 64)::int AS ix, (point_index /
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 64 x 64 picture with holes: the parts, one a pixel."""
-    q = table(spark, sf_dir, "part").where("p_partkey < 4096 and p_partkey % 7 <> 3")
+    """A picture 64 pixels wide, as high as there are parts for, one a pixel; each seventh pixel is a hole, of alpha 0."""
+    q = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    return q.select((k % 64).cast("int").alias("ix"), F.floor(k / 64).cast("int").alias("iy"), ((k * 13 % 256) / 255).alias("r"), ((k * 29 % 256) / 255).alias("g"), ((k * 53 % 256) / 255).alias("b"), ((1 + k % 4) / 4).alias("alpha"), (2 + (k * 17 % 50) / 10).alias("depth"))
+    return q.select((k % 64).cast("int").alias("ix"), F.floor(k / 64).cast("int").alias("iy"), ((k * 13 % 256) / 255).alias("r"), ((k * 29 % 256) / 255).alias("g"), ((k * 53 % 256) / 255).alias("b"), F.when(k % 7 == 3, 0.0).otherwise((1 + k % 4) / 4).alias("alpha"), (2 + (k * 17 % 50) / 10).alias("depth"))
 
 
-PIXELS = "(SELECT (p_partkey % 64)::int AS ix, (p_partkey // 64)::int AS iy, (p_partkey * 13 % 256) / 255 AS r, (p_partkey * 29 % 256) / 255 AS g, (p_partkey * 53 % 256) / 255 AS b, (1 + p_partkey % 4) / 4 AS alpha, 2 + (p_partkey * 17 % 50) / 10 AS depth FROM part WHERE p_partkey < 4096 AND p_partkey % 7 <> 3)"
+PIXELS = "(SELECT (p_partkey % 64)::int AS ix, (p_partkey // 64)::int AS iy, (p_partkey * 13 % 256) / 255 AS r, (p_partkey * 29 % 256) / 255 AS g, (p_partkey * 53 % 256) / 255 AS b, CASE WHEN p_partkey % 7 = 3 THEN 0 ELSE (1 + p_partkey % 4) / 4 END AS alpha, 2 + (p_partkey * 17 % 50) / 10 AS depth FROM part)"
