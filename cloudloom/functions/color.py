@@ -11,38 +11,14 @@ from cloudloom.functions.scalar import Number, clamp, col, lerp
 
 Rgb = tuple[Column, Column, Column]
 
-# Published polynomial fits of the perceptual colormaps, coefficients of 1, t, t^2, ... for red, green, blue.
-POLYNOMIALS: dict[str, tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]] = {
-    "viridis": (
-        (0.2777273272234177, 0.1050930431085774, -0.3308618287255563, -4.634230498983486, 6.228269936347081, 4.776384997670288, -5.435455855934631),
-        (0.005407344544966578, 1.404613529898575, 0.214847559468213, -5.799100973351585, 14.17993336680509, -13.74514537774601, 4.645852612178535),
-        (0.3340998053353061, 1.384590162594685, 0.09509516302823659, -19.33244095627987, 56.69055260068105, -65.35303263337234, 26.3124352495832),
-    ),
-    "plasma": (
-        (0.05873234392399702, 2.176514634195958, -2.689460476458034, 6.130348345893603, -11.10743619062271, 10.02306557647065, -3.658713842777788),
-        (0.02333670892565664, 0.2383834171260182, -7.455851135738909, 42.3461881477227, -82.66631109428045, 71.41361770095349, -22.93153465461149),
-        (0.5433401826748754, 0.7539604599784036, 3.110799939717086, -28.51885465332158, 60.13984767418263, -54.07218655560067, 18.19190778539828),
-    ),
-    "inferno": (
-        (0.0002189403691192265, 0.1065134194856116, 11.60249308247187, -41.70399613139459, 77.162935699427, -71.31942824499214, 25.13112622477341),
-        (0.001651004631001012, 0.5639564367884091, -3.972853965665698, 17.43639888205313, -33.40235894210092, 32.62606426397723, -12.24266895238567),
-        (-0.01948089843709184, 3.932712388889277, -15.9423941062914, 44.35414519872813, -81.80730925738993, 73.20951985803202, -23.07032500287172),
-    ),
-    "magma": (
-        (-0.002136485053939582, 0.2516605407371642, 8.353717279216625, -27.66873308576866, 52.17613981234068, -50.76852536473588, 18.65570506591883),
-        (-0.000749655052795221, 0.6775232436837668, -3.577719514958484, 14.26473078096533, -27.94360607168351, 29.04658282127291, -11.48977351997711),
-        (-0.005386127855323933, 2.494026599312351, 0.3144679030132573, -13.64921318813922, 12.94416944238394, 4.23415299384598, -5.601961508734096),
-    ),
-    "cividis": (
-        (-0.0178039, -0.1385882, 9.3401176, -25.1086275, 27.5479216, -10.6296863),
-        (0.1274118, 0.6695294, 0.2071373, -0.5155294, 0.6924706, -0.2641961),
-        (0.3185882, 1.7347451, -9.7350196, 24.1852549, -25.9409412, 9.7085098),
-    ),
-    "turbo": (
-        (0.13572138, 4.61539260, -42.66032258, 132.13108234, -152.94239396, 59.28637943),
-        (0.09140261, 2.19418839, 4.84296658, -14.18503333, 4.27729857, 2.82956604),
-        (0.10667330, 12.64194608, -60.58204836, 110.36276771, -89.90310912, 27.34824973),
-    ),
+# Each fifteenth of the 256 published colours of the perceptual maps, from the first to the last.
+KNOTS: dict[str, str] = {
+    "viridis": "440154 481769 472A7A 433D84 3D4E8A 355E8D 2E6D8E 297B8E 23898E 1F978B 21A585 2EB37C 46C06F 65CB5E 89D548 B0DD2F D8E219 FDE725",
+    "plasma": "0D0887 2F0596 4903A0 6100A7 7801A8 8E0CA4 A21D9A B42E8D C43E7F D24F71 DE6164 E97257 F3854B F99A3E FDAF31 FDC627 F8DF25 F0F921",
+    "inferno": "000004 0A0722 1E0C45 380962 510E6C 69166E 801F6C 982766 B0315B C63D4D D94D3D E9612B F47918 FA9407 FCB014 F8CD37 F2EA69 FCFFA4",
+    "magma": "000004 090720 1A1042 311165 4A1079 621980 792282 912B81 AA337D C23B75 D9466B EC5860 F7725C FC8E64 FEAA74 FEC68A FDE2A3 FCFDBF",
+    "cividis": "00224E 002D68 163770 2E416D 3F4C6C 4E566C 5C616E 696B71 767676 838179 928C78 A09875 AFA471 BFB06B CFBD62 DFCA57 F0D846 FEE838",
+    "turbo": "30123B 3F3E9C 4666DD 458CFD 2FB2F4 1AD4D0 22EBAA 52FA7A 8BFF4B B7F735 DBE236 F5C53A FEA130 F9751D E84B0C CE2D04 A91601 7A0403",
 }
 
 # Stops (position, red, green, blue) of the piecewise linear colormaps.
@@ -55,16 +31,28 @@ STOPS: dict[str, tuple[tuple[float, float, float, float], ...]] = {
 }
 #: The stop maps that are read along an exponential curve.
 EXPONENTS = {"exponential_fire": 3.0, "exponential_ice": 2.7}
-COLORMAPS = (*POLYNOMIALS, *STOPS, "custom_gradient")
+COLORMAPS = (*KNOTS, *STOPS, "custom_gradient")
 SAMPLES = 256
 
 
-def table(name: str) -> list[tuple[int, int, int]]:
-    """256 colours of a perceptual map, made from its polynomials."""
-    out = []
+def knots(name: str) -> list[tuple[int, int, int]]:
+    return [tuple(bytes.fromhex(k)) for k in KNOTS[name].split()]
+
+
+def table(name: str, degree: int = 5) -> list[tuple[float, float, float]]:
+    """256 colours of a perceptual map in 0..255: the published ones at the knots, and between them the polynomial through the knots around."""
+    known, out = knots(name), []
+    step = (SAMPLES - 1) / (len(known) - 1)
     for i in range(SAMPLES):
-        t = i / (SAMPLES - 1)
-        out.append(tuple(round(255 * min(1.0, max(0.0, sum(c * t**k for k, c in enumerate(p))))) for p in POLYNOMIALS[name]))
+        first = min(max(int(i / step) - degree // 2, 0), len(known) - 1 - degree)
+        at = range(first, first + degree + 1)
+        weights = []
+        for j in at:
+            w = 1.0
+            for m in at:
+                w *= 1.0 if m == j else (i / step - m) / (j - m)
+            weights.append(w)
+        out.append(tuple(min(255.0, max(0.0, sum(w * known[j][c] for w, j in zip(weights, at)))) for c in range(3)))
     return out
 
 
@@ -110,7 +98,7 @@ def colormap(name: str, x: Column) -> Rgb:
         return gradient((0, 0, 0), (1, 1, 1), x)
     if name in STOPS:
         return from_stops(STOPS[name], exponential(x, EXPONENTS[name]) if name in EXPONENTS else x)
-    return from_table(table(name if name in POLYNOMIALS else "viridis"), x)
+    return from_table(table(name if name in KNOTS else "viridis"), x)
 
 
 def pack_rgb(r: Column, g: Column, b: Column) -> Column:

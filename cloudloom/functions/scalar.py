@@ -136,6 +136,11 @@ def inactive_count(bindings: Sequence[Binding]) -> int:
     return sum(not b.active for b in bindings)
 
 
+def inactive_count_column(bindings: Column) -> Column:
+    """A25 over an array of structs with ``active``."""
+    return F.size(F.filter(bindings, lambda b: ~b["active"]))
+
+
 def normalised(value: Column, lo: Column, hi: Column, valid: Column | None = None) -> Column:
     """Place in the range; 0.5 if the range is flat or unknown."""
     flat = F.abs(hi - lo) <= 1e-6

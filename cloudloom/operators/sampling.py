@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import scalar as S
@@ -23,6 +23,11 @@ def clamp_budget(total: int, requested: int) -> int:
     return 0 if total == 0 else min(total, max(1, requested))
 
 
+def clamp_budget_column(total: Column, requested: Column) -> Column:
+    """S1 over rows."""
+    return F.when(total == 0, 0).otherwise(F.least(total, F.greatest(F.lit(1), requested)))
+
+
 def coprime_step(total: int) -> int:
     """The first odd number from (total // 2) | 1 on that shares no factor with total."""
     step = (total // 2) | 1

@@ -189,3 +189,8 @@ def member_params(members: DataFrame, params: DataFrame) -> DataFrame:
 def upsert(table: DataFrame, new: DataFrame, key: Column) -> DataFrame:
     """Rows of ``new`` replace those of ``table`` with the same normalised name."""
     return table.withColumn("k", key).join(new.withColumn("k", key).select("k"), "k", "left_anti").drop("k").unionByName(new)
+
+
+def first_visits(steps: DataFrame, branch: str) -> DataFrame:
+    """Of all branches' steps (``branch``, point_index) those that stay: a point belongs to the first branch that reaches it."""
+    return steps.groupBy("point_index").agg(F.min(branch).alias(branch))

@@ -343,14 +343,23 @@ def e8(spark, d):
 _T = "((point_index * 37 % 1000) / 999)"
 
 
-def _lut_sql(name, c):
-    return "[" + ", ".join(f"{v[c] / 255!r}::double" for v in color.table(name)) + "]"
+# Published colours of one map at the places that the query asks for.
+_TURBO = [(48, 18, 59), (63, 62, 156), (70, 102, 221), (69, 140, 253), (47, 178, 244), (26, 212, 208), (34, 235, 170), (82, 250, 122), (139, 255, 75), (183, 247, 53), (219, 226, 54), (245, 197, 58), (254, 161, 48), (249, 117, 29), (232, 75, 12), (206, 45, 4), (169, 22, 1), (122, 4, 3)]
 
 
-@query("e10_lut_colormap", f"WITH t AS (SELECT point_index, {_T} * 255 AS s FROM {V.Q}), f AS (SELECT point_index, s, floor(s)::int AS i FROM t) SELECT point_index, " + ", ".join(f"round({_lut_sql('viridis', c)}[i + 1] + ({_lut_sql('viridis', c)}[least(i + 1, 255) + 1] - {_lut_sql('viridis', c)}[i + 1]) * (s - i), 6) AS {n}" for c, n in enumerate("rgb")) + " FROM f")
+def _turbo_sql(i):
+    return f"round([{', '.join(str(rgb[i]) for rgb in _TURBO)}][point_index * 7 % 18 + 1] / 255, 6)"
+
+
+@query("e10_lut_colormap", "SELECT point_index, " + ", ".join(f"{_turbo_sql(i)} AS {n}" for i, n in enumerate("rgb")) + f" FROM {V.Q}")
 def e10(spark, d):
-    t = (F.col("point_index") * 37 % 1000) / 999
-    return _round(V.cloud_q(spark, d).select("point_index", *[c.alias(n) for c, n in zip(color.colormap("viridis", t), "rgb")]))
+    t = (F.col("point_index") * 7 % 18) * 15 / 255
+    return _round(V.cloud_q(spark, d).select("point_index", *[c.alias(n) for c, n in zip(color.colormap("turbo", t), "rgb")]))
+
+
+# The stops of two piecewise linear maps: position, red, green, blue.
+_TOPOGRAPHIC = [(0.0, 0.03, 0.12, 0.28), (0.16, 0.10, 0.36, 0.58), (0.28, 0.50, 0.76, 0.69), (0.34, 0.78, 0.70, 0.45), (0.48, 0.28, 0.55, 0.24), (0.64, 0.58, 0.50, 0.30), (0.80, 0.50, 0.42, 0.38), (1.0, 0.96, 0.95, 0.90)]
+_FIRE = [(0.0, 0.0, 0.0, 0.0), (0.30, 0.25, 0.0, 0.06), (0.55, 0.85, 0.10, 0.02), (0.76, 1.0, 0.48, 0.0), (0.92, 1.0, 0.92, 0.20), (1.0, 1.0, 1.0, 0.92)]
 
 
 def _stops_sql(stops, c, t):
@@ -358,7 +367,7 @@ def _stops_sql(stops, c, t):
     return f"round(CASE {whens} ELSE {stops[-1][c]} END, 6)"
 
 
-@query("e11_stop_colormaps", "SELECT point_index, " + ", ".join(f"{_stops_sql(color.STOPS['topographic'], c + 1, 't')} AS t{n}, {_stops_sql(color.STOPS['exponential_fire'], c + 1, 'f')} AS f{n}" for c, n in enumerate("rgb")) + f" FROM (SELECT point_index, {_T} AS t, (exp(3.0::double * {_T}) - 1) / (exp(3.0::double) - 1) AS f FROM {V.Q})")
+@query("e11_stop_colormaps", "SELECT point_index, " + ", ".join(f"{_stops_sql(_TOPOGRAPHIC, c + 1, 't')} AS t{n}, {_stops_sql(_FIRE, c + 1, 'f')} AS f{n}" for c, n in enumerate("rgb")) + f" FROM (SELECT point_index, {_T} AS t, (exp(3.0::double * {_T}) - 1) / (exp(3.0::double) - 1) AS f FROM {V.Q})")
 def e11(spark, d):
     t = (F.col("point_index") * 37 % 1000) / 999
     maps = [(p, color.colormap(m, t)) for p, m in (("t", "topographic"), ("f", "exponential_fire"))]

@@ -203,11 +203,11 @@ def test_colormaps(spark):
     for name, t, want in listed:
         assert np.allclose(one(spark, *color.colormap(name, F.lit(t))), want, atol=1 / 255)
     assert np.allclose(one(spark, *color.gradient((1, 0, 0), (0, 0, 1), F.lit(0.25))), (0.75, 0, 0.25))
-    # the perceptual maps are polynomial fits: within a few hundredths of the published tables
-    # (cividis by up to 0.053, turbo by up to 0.08)
-    near = [("viridis", 0.0, (0.267, 0.005, 0.329)), ("viridis", 1.0, (0.993, 0.906, 0.144)), ("plasma", 0.0, (0.050, 0.030, 0.528)), ("inferno", 0.5, (0.736, 0.216, 0.330)), ("magma", 0.5, (0.716, 0.215, 0.475)), ("cividis", 1.0, (0.996, 0.909, 0.218)), ("turbo", 128 / 255, (0.644, 0.990, 0.234))]
-    for name, t, want in near:
-        assert np.allclose(one(spark, *color.colormap(name, F.lit(t))), want, atol=0.085), name
+    # published values of the perceptual maps, to a 255th
+    near = [("viridis", 0, (0.267004, 0.004874, 0.329415)), ("viridis", 128, (0.127568, 0.566949, 0.550556)), ("viridis", 255, (0.993248, 0.906157, 0.143936)), ("plasma", 0, (0.050383, 0.029803, 0.527975))]
+    near += [("inferno", 128, (0.735683, 0.215906, 0.330245)), ("magma", 128, (0.716387, 0.214982, 0.475290)), ("cividis", 255, (0.995737, 0.909344, 0.217772)), ("turbo", 128, (0.643620, 0.989990, 0.233560))]
+    for name, i, want in near:
+        assert np.allclose(one(spark, *color.colormap(name, F.lit(i / 255))), want, atol=1 / 255), name
 
 
 def test_hsl_and_bytes(spark):
