@@ -63,11 +63,11 @@ def ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
     Rows are range-partitioned, to as many partitions as the session shuffles to; a partition's rows are numbered from the sum of the partitions before it.  The
     numbered rows are written before they are counted: two plans of one range exchange may sample different bounds.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id())
-    parts = written(parts.withColumn("n", F.col("n").bitwiseAND(F.lit((1 << 33) - 1))))
-    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
-    before = counts.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return parts.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("n")).drop("part", "n", "before")
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
+    parts = written(parts.withColumn("_n", F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_k"))
+    before = counts.select("_part", F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return parts.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
 
 
 def spatial_sample(points: DataFrame, requested: int) -> DataFrame | None:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import scalar as S
+from cloudloom.operators.tables import written
 
 #: Parts that a cell's left rows are dealt to, with its right rows repeated; for clouds with hot cells.
 SALTS = 1
@@ -53,18 +54,27 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, radius: float, *, axes: S
 def nearest(queries: DataFrame, points: DataFrame, radius: float, *, query_id: str = "query_id", fallback: bool = True, strict: bool = False) -> DataFrame:
     """(query_id, point_index, d2): the nearest point within the radius, the smaller index on ties.
 
-    fallback: a query without one gets the nearest of all points.  Those queries alone go to every task, so queries
-    should be few or the radius wide.
+    fallback: a query without one gets the nearest of all points: those queries alone search again with four times the radius on a grid of that size, until all have one.
     """
     slim = points.select("point_index", "x", "y", "z")
-    pairs = neighbour_pairs(slim, queries.select(query_id, "x", "y", "z"), radius, strict=strict)
-    best = F.min(F.struct("d2", F.col("l_point_index").alias("point_index"))).alias("best")
-    found = pairs.groupBy(F.col(f"r_{query_id}").alias(query_id)).agg(best)
+
+    def within(queries: DataFrame, radius: float) -> DataFrame:
+        pairs = neighbour_pairs(slim, queries, radius, strict=strict)
+        best = F.min(F.struct("d2", F.col("l_point_index").alias("point_index"))).alias("best")
+        return pairs.groupBy(F.col(f"r_{query_id}").alias(query_id)).agg(best)
+
+    asked = queries.select(query_id, "x", "y", "z")
+    found = within(asked, radius)
     if fallback:
-        missed = queries.select(query_id, "x", "y", "z").join(found, query_id, "left_anti")
-        d2 = reduce(lambda a, b: a + b, [(F.col(f"q.{a}") - F.col(f"p.{a}")) * (F.col(f"q.{a}") - F.col(f"p.{a}")) for a in ("x", "y", "z")])
-        far = slim.alias("p").join(F.broadcast(missed.alias("q")), F.lit(True)).select(F.col(f"q.{query_id}").alias(query_id), F.struct(d2.alias("d2"), F.col("p.point_index")).alias("k"))
-        found = found.unionByName(far.groupBy(query_id).agg(F.min("k").alias("best")))
+        found = written(found)
+        missed = written(asked.join(found, query_id, "left_anti"))
+        ends = [f(a) for f in (F.min, F.max) for a in ("x", "y", "z")]
+        box = slim.select("x", "y", "z").unionByName(asked.select("x", "y", "z")).agg(*ends).first()
+        widest = 2.0 * sum(abs(box[i + 3] - box[i]) for i in range(3)) if box[0] is not None else 0.0
+        while radius <= widest and not missed.isEmpty():
+            radius *= 4.0
+            more = written(within(missed, radius))
+            found, missed = found.unionByName(more), written(missed.join(more, query_id, "left_anti"))
     return found.select(query_id, "best.point_index", "best.d2")
 
 

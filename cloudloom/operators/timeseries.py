@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import scalar as S
+from cloudloom.operators import sampling
 
 AXES = ("x", "y", "z")
 
@@ -188,9 +189,7 @@ def fill_ids(rows: DataFrame, prefix: str) -> DataFrame:
     used = rows.where(F.col("id").startswith(prefix)).select(F.substring("id", len(prefix) + 1, 18).cast("long").alias("n")).where(F.col("n") > 0).distinct()
     total = rows.count()
     free = rows.sparkSession.range(1, total + 1).toDF("n").join(used, "n", "left_anti")
-    free = free.withColumn("k", F.row_number().over(Window.orderBy("n")))
-    numbered = missing.withColumn("k", F.row_number().over(Window.orderBy("seq")))
-    new = numbered.join(free, "k").select("seq", F.concat(F.lit(prefix), F.col("n").cast("string")).alias("id"))
+    new = sampling.ranked(missing, ["seq"]).join(sampling.ranked(free, ["n"]), "rank").select("seq", F.concat(F.lit(prefix), F.col("n").cast("string")).alias("id"))
     return rows.where(F.col("id").isNotNull()).select("seq", "id").unionByName(new)
 
 

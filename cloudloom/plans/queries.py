@@ -108,12 +108,6 @@ def a7(spark, d):
     return _round(stats.surface_cells(V.cloud_p(spark, d), 50.0))
 
 
-@query("a8_point_spacing")
-def a8(spark, d):
-    q = V.flat_q(spark, d)
-    return spark.createDataFrame([(stats.point_spacing(q, q.count()),)], "spacing double")
-
-
 @query("a9_centroid", "SELECT s_nationkey, round(avg(s_suppkey), 6) AS x, round(avg(s_acctbal), 6) AS y FROM supplier GROUP BY 1")
 def a9(spark, d):
     vertex = F.struct(F.col("s_suppkey").cast("double").alias("x"), F.col("s_acctbal").alias("y"), F.lit(0.0).alias("z"))
@@ -729,11 +723,6 @@ def w3(spark, d):
     return _round(timeseries.tangents(V.paths(spark, d)).select("path_id", "seq", "tx"))
 
 
-@query("w4_turbulence")
-def w4(spark, d):
-    return _round(timeseries.turbulence(V.paths(spark, d)).select("path_id", "seq", "turbulence"))
-
-
 _FLOW = "(SELECT o_custkey AS layer, o_orderkey AS seq, o_orderkey // 40 AS flow_id, (o_orderkey % 4 = 0)::int AS particle_role FROM orders)"
 
 
@@ -767,12 +756,6 @@ def a27(spark, d):
     return _round(timeseries.gap_diagnostics(V.nodes(spark, d), resolution=0.05, max_bridge=0.3))
 
 
-@query("w7_fill_gaps")
-def w7(spark, d):
-    p = V.paths(spark, d).withColumns({"surface_z": F.when(F.col("event_id") % 3 == 0, F.col("z") + 1), "confidence": F.lit(1.0)})
-    return _round(timeseries.fill_gaps(timeseries.path_distances(p)).select("path_id", "seq", "z", "confidence"))
-
-
 @query("w8_prefix_sums", f"SELECT path_id, seq, round(sum(x) OVER w, 6) AS sum_x, round(sum(y) OVER w, 6) AS sum_y FROM {V.PATHS} WINDOW w AS (PARTITION BY path_id ORDER BY seq)")
 def w8(spark, d):
     return _round(timeseries.prefix_sums(V.paths(spark, d), ["x", "y"]).select("path_id", "seq", "sum_x", "sum_y"))

@@ -35,7 +35,7 @@ def classify(files: DataFrame, looks: Callable[[str], str] | None = None) -> Dat
     if looks is None:
         kind = kind.otherwise("cloud")
     else:
-        kind = kind.otherwise(F.udf(looks, "string")("path"))  # a header read a file: no column function opens files
+        kind = kind.otherwise(F.pandas_udf(lambda paths: paths.map(looks), "string", F.PandasUDFType.SCALAR)("path"))  # a header read a file: no column function opens files
     out = parts.withColumn("kind", kind)
     return out.withColumn("issue", F.when(F.col("kind").isNull() & (F.col("ext") != ".txt"), F.lit("not a point cloud")))
 

@@ -1,4 +1,4 @@
-"""Versioned JSON documents: projects, water sources, styles, paths (SRC12-SRC19, SRC28, D1j-D16j, D25, D26, E91, E92).
+"""Versioned JSON documents: projects, water sources, styles, paths (SRC12-SRC17, SRC28, D1j-D7j, D9j-D13j, D16j, D25, D26, E91, E92); caches and jobs are in ``caches``.
 
 Single documents are dictionaries with defaults and migrations, on the driver.  Tables of documents are parsed by ``from_json`` with the same defaults.
 """
@@ -58,7 +58,6 @@ EMITTER: dict[str, Any] = {"id": 0, "name": "", "position": [0.0, 0.0, 0.0], "ra
 REGION: dict[str, Any] = {"id": 0, "feature_type": "ripple", "vertices": [], "hull": [], "edge_blend_width": 0.05, "direction": [1.0, 0.0, 0.0], "viewport": True, "export": True, "blend_mode": "add", "blend_priority": 0}
 RIPPLE: dict[str, Any] = {**REGION, "ripple_type": "caustic_lace", "pattern_settings": {}, "intensity": 1.0, "emission": 1.0, "opacity": 0.0, "size": 0.0, "colour_mix": 0.0}
 CAMERA: dict[str, Any] = {"position": [0.0, -5.0, 2.0], "orientation": None, "target": [0.0, 0.0, 0.0], "fov": 50.0, "near": 0.01, "far": 1000.0, "focus_distance": None, "aperture": None}
-JOB: dict[str, Any] = {"width": 1920, "height": 1080, "tile": 512, "fps": 30, "first_frame": 0, "last_frame": 0, "name": "Render"}
 ANIMATION: dict[str, Any] = {"name": "Path", "duration_frames": 0, "keys": []}
 PROJECT: dict[str, Any] = {"name": "Untitled", "renderer": "beauty", "lod_mode": "full_resolution", "point_cap": 10_000_000, "layers": [], "visuals": [], "shots": [], "paths": [], "jobs": [], "emitters": [], "regions": [], "ripple_layers": [], "source_settings": {}, "visual_settings": {}, "trail_settings": {}, "field_settings": {}}
 #: Ranges to which settings are clamped on load (D11j).
@@ -227,7 +226,7 @@ def project(value: Mapping | None) -> dict:
     out["visuals"] = [{"name": v.get("name", ""), "style": style(v.get("style"))} for v in out["visuals"]]
     out["shots"] = [camera(s) | {"duration": int(s.get("duration", 30))} for s in out["shots"]]
     out["paths"] = [animation(p) for p in out["paths"]]
-    out["jobs"] = [with_defaults(j, JOB) for j in out["jobs"]]
+    out["jobs"] = [_caches("render_job")(j) for j in out["jobs"]]
     out["emitters"] = [emitter(e) for e in out["emitters"]]
     out["regions"] = [region(r) for r in out["regions"]]
     out["ripple_layers"] = caustics_to_ripples(doc)
@@ -249,7 +248,16 @@ def style_preset(value: Mapping | None) -> dict:
     return {"version": STYLE_VERSION, "name": doc.get("name", "Style"), "style": style(doc.get("style"))}
 
 
-KINDS = {"project": project, "sources": sources, "style": style_preset, "animation": animation}
+def _caches(kind: str):
+    def parse(value: Mapping | None) -> dict:
+        from cloudloom.sources import caches
+
+        return getattr(caches, kind)(value)
+
+    return parse
+
+
+KINDS = {"path_cache": _caches("path_cache"), "render_job": _caches("render_job"), "project": project, "sources": sources, "style": style_preset, "animation": animation}
 
 
 def loads(text: str | None, kind: str) -> tuple[dict | None, str | None]:

@@ -18,6 +18,12 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return out.select("user_id", F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "events", "value")
 
 
+def batch_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """The same sessions over a whole table of events."""
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
+    return out.select("user_id", F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "events", "value")
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Counts and sums by type and window."""
     out = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
