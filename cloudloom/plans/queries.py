@@ -200,7 +200,13 @@ def s9(spark, d):
     return sampling.surfel_corners(V.cloud_q(spark, d))
 
 
-@query("s11_greedy_spaced")
+@query(
+    "s11_greedy_spaced",
+    f"""WITH RECURSIVE g AS (SELECT 1 AS n, [arg_min({{'i': point_index, 'x': x, 'y': y, 'z': z}}, (-v, x, y, z, point_index))] AS taken FROM {V.FLAT_Q}
+      UNION ALL SELECT n + 1, list_append(taken, arg_min({{'i': point_index, 'x': x, 'y': y, 'z': z}}, (-v, x, y, z, point_index))) FROM g, {V.FLAT_Q} c
+      WHERE n < 10 AND len(list_filter(taken, lambda t: pow(t.x - c.x, 2) + pow(t.y - c.y, 2) + pow(t.z - c.z, 2) <= 0.1::double * 0.1::double)) = 0 GROUP BY n, taken)
+    SELECT unnest(list_transform(taken, lambda t: t.i)) AS point_index FROM (SELECT taken FROM g ORDER BY n DESC LIMIT 1)""",
+)
 def s11(spark, d):
     top = sampling.spaced(V.flat_q(spark, d).withColumnRenamed("v", "score"), 0.1, 10)
     return spark.createDataFrame([(t[4],) for t in top], "point_index long")
@@ -261,7 +267,15 @@ def f3(spark, d):
     return V.cloud_q(spark, d).where(S.in_clip(c)).select("point_index")
 
 
-@query("f6_frustum_union")
+_TOUCHED = "(lx + (cx + 2) * ex / 16 >= {0} AND lx + (cx - 1) * ex / 16 <= {1} AND ly + (cy + 2) * ey / 16 >= {2} AND ly + (cy - 1) * ey / 16 <= {3})"
+
+
+@query(
+    "f6_frustum_union",
+    f"""WITH b AS (SELECT min(x) AS lx, max(x) - min(x) AS ex, min(y) AS ly, max(y) - min(y) AS ey FROM {V.Q}),
+    k AS (SELECT point_index, floor(least(greatest((x - lx) / ex, 0), 0.999999999999) * 16) AS cx, floor(least(greatest((y - ly) / ey, 0), 0.999999999999) * 16) AS cy, b.* FROM {V.Q}, b)
+    SELECT point_index FROM k WHERE {_TOUCHED.format(5, 15, 925, 935)} OR {_TOUCHED.format(35, 45, 965, 975)}""",
+)
 def f6(spark, d):
     kept, _ = sampling.frustum_union(V.cloud_q(spark, d), [camera.orthographic(10.0, 930.0, 5.0), camera.orthographic(40.0, 970.0, 5.0)], 16)
     return kept.select("point_index")
@@ -389,7 +403,10 @@ def e15(spark, d):
     return _round(p.select("ix", "iy", *[c.alias(n) for c, n in zip(color.hsl_to_rgb((F.col("h"), F.col("s"), F.col("l"))), "rgb")], "l"))
 
 
-@query("e16_colourise")
+_TINTED = "(l + (1 - abs(2 * l - 1)) * 0.8 * {})"
+
+
+@query("e16_colourise", "SELECT ix, iy, " + ", ".join(f"round({n} + ({_TINTED.format(k)} - {n}) * 0.5, 6) AS {n}" for n, k in (("r", 0.5), ("g", -0.125), ("b", -0.5))) + f" FROM (SELECT *, (greatest(r, g, b) + least(r, g, b)) / 2 AS l FROM {V.PIXELS})")
 def e16(spark, d):
     p = V.pixels(spark, d)
     rgb = color.colourise((F.col("r"), F.col("g"), F.col("b")), (F.lit(0.9), F.lit(0.4), F.lit(0.1)), 0.5)
@@ -736,13 +753,13 @@ def w5(spark, d):
 _GAP = "coalesce(abs(x - lag(x) OVER w), 0)"
 
 
-@query(
-    "w6_gap_islands",
-    f"""WITH m AS (SELECT *, flow_blocked OR confidence < 0.175 AS gone, {_GAP} AS gap FROM {V.NODES} WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+_ISLANDS = f"""WITH m AS (SELECT *, flow_blocked OR confidence < 0.175 AS gone, {_GAP} AS gap FROM {V.NODES} WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
     c AS (SELECT *, coalesce(lag(gone) OVER w OR lag(bridge_blocked) OVER w OR bridge_blocked OR (gap > 0.3 AND (NOT (lag(bridge_allowed) OVER w OR bridge_allowed) OR gap > 1.2)), true)::int AS cut FROM m WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
     i AS (SELECT *, sum(cut) OVER (PARTITION BY path_id ORDER BY seq)::bigint AS island FROM c)
-    SELECT path_id, event_id, island FROM i WHERE NOT gone QUALIFY count(*) OVER (PARTITION BY path_id, island) >= 2""",
-)
+    SELECT path_id, event_id, island FROM i WHERE NOT gone QUALIFY count(*) OVER (PARTITION BY path_id, island) >= 2"""
+
+
+@query("w6_gap_islands", _ISLANDS)
 def w6(spark, d):
     return timeseries.gap_islands(V.nodes(spark, d), resolution=0.05, max_bridge=0.3).select("path_id", "event_id", "island")
 
@@ -1032,7 +1049,7 @@ def g16(spark, d):
     return _round(out.select("point_index", "seq", "station", "wetness", "confidence", "dx", "dz"))
 
 
-@query("g17_field_streamlines")
+@query("g17_field_streamlines", f"SELECT path_id || '-' || island AS path_id, event_id FROM ({_ISLANDS})")
 def g17(spark, d):
     return paths.field_streamlines(V.nodes(spark, d), resolution=0.05, max_bridge=0.3).select("path_id", "event_id")
 
