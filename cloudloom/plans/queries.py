@@ -444,7 +444,16 @@ def e25(spark, d):
     return _round(V.cloud_q(spark, d).select("point_index", px.alias("px"), py.alias("py")))
 
 
-@query("e29_natural_spline")
+# Second derivatives of the natural spline through (0, 0), (2, 3), (5, -1), (9.9, 4), by Cramer's rule on its two equations.
+_M1, _M2 = (-17 * 15.8 - 3 * 6 * (5 / 4.9 + 4 / 3)) / 149, (10 * 6 * (5 / 4.9 + 4 / 3) + 3 * 17) / 149
+
+
+def _piece(t0, t1, y0, y1, m0, m1):
+    h = t1 - t0
+    return f"{y0} + (t - {t0}) * ({(y1 - y0) / h - h * (2 * m0 + m1) / 6!r}::double + (t - {t0}) * ({m0 / 2!r}::double + (t - {t0}) * {(m1 - m0) / (6 * h)!r}::double))"
+
+
+@query("e29_natural_spline", f"SELECT point_index, round(CASE WHEN t < 2 THEN {_piece(0, 2, 0, 3, 0, _M1)} WHEN t < 5 THEN {_piece(2, 5, 3, -1, _M1, _M2)} ELSE {_piece(5, 9.9, -1, 4, _M2, 0)} END, 6) AS s FROM (SELECT point_index, least((point_index % 100) / 10::double, 9.9) AS t FROM {V.Q})")
 def e29(spark, d):
     t = (F.col("point_index") % 100) / 10
     return _round(V.cloud_q(spark, d).select("point_index", S.clamp(timeseries.spline_column(t, [0, 2, 5, 9.9], [0, 3, -1, 4]), -10, 10).alias("s")))
@@ -877,12 +886,43 @@ def _ordered(spark, d):
     return li.select(*[c.alias(n) for n, c in extra.items()])
 
 
-@query("a19_compose_ordered")
+def _case(**by_mode) -> str:
+    return "CASE e.mode " + " ".join(f"WHEN '{m}' THEN {x}" for m, x in by_mode.items()) + " END"
+
+
+def _fold_sql(members: bool) -> str:
+    """The fold of each point's effects in order, one effect of every point a round."""
+    c = lambda x: f"least(greatest({x}, 0), 1)"
+    screened = lambda a, b: f"1 - (1 - {c(a)}) * (1 - {c(b)})"
+    step = {"value": _case(add=c("s.value + e.value"), max="greatest(s.value, e.value)", multiply="greatest(s.value, e.value)", screen=screened("s.value", "e.value"), override="e.value")}
+    for n in ("emission", "opacity", "size"):
+        step[n] = _case(add=f"s.{n} + e.{n}", max=f"greatest(s.{n}, e.{n})", multiply=f"s.{n} + e.{n}", screen=screened(f"s.{n}", f"e.{n}"), override=f"e.{n}")
+    for n in ("opacity_mul", "size_mul"):
+        step[n] = _case(add=f"s.{n} * e.{n}", max=f"greatest(s.{n}, e.{n})", multiply=f"s.{n} * e.{n}", screen=f"s.{n} * e.{n}", override=f"e.{n}")
+    step["mix"] = _case(add=c("s.mix + e.mix"), max="greatest(s.mix, e.mix)", multiply=c("s.mix + e.mix"), screen=screened("s.mix", "e.mix"), override="e.mix")
+    tints = "e.mode IN ('add', 'multiply', 'screen') AND e.mix > 1e-6"
+    for n in ("red", "green", "blue"):
+        taken = f"CASE WHEN e.mode = 'override' OR (e.mode = 'max' AND e.mix >= s.mix) THEN e.{n} ELSE s.{n} END"
+        share = c(f"CASE WHEN {step['mix']} > 1e-6 THEN e.mix / ({step['mix']}) ELSE 0 END")
+        step[n] = f"CASE WHEN e.mode IN ('add', 'multiply', 'screen') THEN s.{n} + (e.{n} - s.{n}) * {share} ELSE {taken} END" if members else taken
+        step[f"sum_{n}"] = f"CASE WHEN {tints} THEN s.sum_{n} + e.{n} * {c('e.mix')} ELSE s.sum_{n} END"
+    step["weight"] = f"CASE WHEN e.mode = 'override' THEN 0 WHEN {tints} THEN s.weight + {c('e.mix')} ELSE s.weight END"
+    first = ", ".join(f"{1 if n.endswith('_mul') else 0}::double AS {n}" for n in step)
+    out = [f"round({n}, 6) + 0.0 AS {n}" for n in ("value", "emission", "opacity", "size")]
+    out += [f"round({n if members else f'greatest({n}, 0)'}, 6) + 0.0 AS {n}" for n in ("opacity_mul", "size_mul")] + ["round(mix, 6) + 0.0 AS mix"]
+    out += [f"round({n if members else f'CASE WHEN weight > 1e-6 THEN sum_{n} / weight ELSE {n} END'}, 6) + 0.0 AS {n}" for n in ("red", "green", "blue")]
+    return f"""WITH RECURSIVE e AS (SELECT l_partkey AS point_index, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, mode, value, emission, opacity, size) AS k, * FROM (
+        SELECT *, ['add', 'max', 'multiply', 'screen', 'override'][l_linenumber % 5 + 1] AS mode, {c('l_discount * 5')} AS value, l_tax AS emission, l_discount AS opacity, l_quantity / 100 AS size, 1 + l_tax AS opacity_mul, 1 - l_discount AS size_mul, l_discount AS mix, l_tax * 10 AS red, 0.5::double AS green, 0.2::double AS blue FROM lineitem) WHERE value > 1e-6),
+      s AS (SELECT DISTINCT point_index, 0::bigint AS k, {first} FROM e UNION ALL SELECT s.point_index, s.k + 1, {', '.join(f'({x})::double' for x in step.values())} FROM s JOIN e ON e.point_index = s.point_index AND e.k = s.k + 1)
+      SELECT point_index, {', '.join(out)} FROM s QUALIFY row_number() OVER (PARTITION BY point_index ORDER BY k DESC) = 1"""
+
+
+@query("a19_compose_ordered", _fold_sql(False))
 def a19(spark, d):
     return _round(compose.compose(_ordered(spark, d)))
 
 
-@query("a20_compose_members")
+@query("a20_compose_members", _fold_sql(True))
 def a20(spark, d):
     return _round(compose.compose_members(_ordered(spark, d)))
 
