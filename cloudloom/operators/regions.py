@@ -15,6 +15,8 @@ from cloudloom.operators import sampling, stats
 Vertex = tuple[float, float, float]
 #: F2: slack of the bounds.
 SLACK = 1e-5
+#: Regions that are sent to every task.
+MOST_SENT = 10_000
 
 
 def clean_boundary(vertices: Sequence[Vertex], near: float = 1e-5) -> list[Vertex]:
@@ -141,7 +143,8 @@ def select_regions(points: DataFrame, layers: DataFrame, feature: str) -> DataFr
     ends = lambda f, c: f(F.transform("boundary", lambda v: v[c]))
     slim = wanted.select("layer_id", "boundary", *[ends(f, c).alias(f"{n}_{c}") for n, f in (("lo", F.array_min), ("hi", F.array_max)) for c in "xy"])
     near = (F.col("x") >= F.col("lo_x") - SLACK) & (F.col("x") <= F.col("hi_x") + SLACK) & (F.col("y") >= F.col("lo_y") - SLACK) & (F.col("y") <= F.col("hi_y") + SLACK)
-    both = points.select("point_index", "x", "y").join(F.broadcast(slim), near)
+    few = slim.limit(MOST_SENT + 1).count() <= MOST_SENT  # beyond, Spark chooses
+    both = points.select("point_index", "x", "y").join(F.broadcast(slim) if few else slim, near)
     return both.where(inside_column(F.col("x"), F.col("y"), F.col("boundary"))).select("layer_id", "point_index")
 
 

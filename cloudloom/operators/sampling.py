@@ -213,17 +213,14 @@ def convex_hull(vertices: Sequence[tuple[float, float]], near: float = 1e-5) ->
 def back_to_front(splats: DataFrame, buckets: int = 2048) -> DataFrame:
     """Splats (view_depth, merged_index) numbered from the farthest bucket on, in order within a bucket.
 
-    The bucket counts are a small histogram; ``draw`` is a bucket's offset plus the place in it.  Without a range of depths the order stays.
+    The numbers are ranks over the whole table, so a bucket with most of the splats is no task of its own.  Without a range of depths the order stays.
     """
     ends = splats.agg(F.min("view_depth").alias("lo"), F.max("view_depth").alias("hi"))
     both = splats.join(F.broadcast(ends))
     flat = F.col("hi") - F.col("lo") <= 1e-6
     bucket = F.when(flat, 0).otherwise(F.least(F.floor((F.col("view_depth") - F.col("lo")) / F.when(flat, 1.0).otherwise(F.col("hi") - F.col("lo")) * (buckets - 1)), F.lit(buckets - 1))).cast("int")
-    keyed = both.withColumn("bucket", bucket).drop("lo", "hi")
-    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("merged_index")) - 1
-    return keyed.withColumn("place", place).join(F.broadcast(offsets), "bucket").withColumn("draw", F.col("offset") + F.col("place")).drop("place", "offset")
+    keyed = both.withColumn("bucket", bucket).withColumn("_near", -F.col("bucket")).drop("lo", "hi")
+    return ranked(keyed, ["_near", "merged_index"]).withColumnRenamed("rank", "draw").drop("_near")
 
 
 def layer_offsets(layers: DataFrame) -> DataFrame:
