@@ -1,4 +1,4 @@
-"""Procedural patterns in Arrow batches (E52-E65, E80-E82, E86-E88): vectorised numpy, the same for pandas UDFs and tests.
+"""Procedural patterns in Arrow batches (E52-E65, E80-E82, E86, E87): vectorised numpy, the same for pandas UDFs and tests.
 
 A pattern is a function of a place (u, v) in metres, a time and a seed, with values in 0..1.  The exact noise of a pattern is its own; what is fixed is its
 kind: cells with ridges, rings, bands, trails, veins, glints, threads.

@@ -303,6 +303,25 @@ def place_samples(samples: DataFrame, routes: DataFrame, t: float, speed: float)
     return both.select("path_id", "sample_id", "t", *[F.coalesce(S.lerp(F.col(c), F.col(f"b_{c}"), u), F.col(c)).alias(c) for c in ("x", "y", "z")])
 
 
+def particle_positions(particles: DataFrame, anchors: DataFrame, *, jitter: float = 0.0, seed: int = 0) -> DataFrame:
+    """Where each particle (path_id, phase 0..1, ...) is: on the curve through its path's anchors, which are shaken by hash, at its share of the segments.
+
+    Paths of one anchor hold their particles there.  The anchors are shuffled once, a row for each segment; particles meet theirs by path and segment.
+    """
+    w = Window.partitionBy("path_id").orderBy("seq")
+    shake = lambda i: jitter * (S.hash_unit(S.region_hash(F.xxhash64("path_id"), F.col("seq"), F.lit(seed + i))) - 0.5)
+    shaken = anchors.select("path_id", "seq", *[(F.col(c) + shake(i)).alias(c) for i, c in enumerate("xyz")])
+    ends = {f"p0{c}": F.coalesce(F.lag(c).over(w), F.col(c)) for c in "xyz"} | {f"p2{c}": F.coalesce(F.lead(c).over(w), F.col(c)) for c in "xyz"}
+    ends |= {f"p3{c}": F.coalesce(F.lead(c, 2).over(w), F.lead(c).over(w), F.col(c)) for c in "xyz"}
+    spans = shaken.withColumns(ends | {"segment": F.row_number().over(w) - 1})
+    sizes = anchors.groupBy("path_id").agg(F.count(F.lit(1)).alias("anchors_"))
+    along = F.col("phase") * (F.col("anchors_") - 1)
+    placed = particles.join(sizes, "path_id").withColumn("segment", F.greatest(F.least(F.floor(along), F.col("anchors_") - 2), F.lit(0)).cast("int")).withColumn("t_", along - F.col("segment"))
+    both = placed.join(spans.select("path_id", "segment", *[F.col(c).alias(f"p1{c}") for c in "xyz"], *ends), ["path_id", "segment"])
+    at = {c: patterns.catmull_rom(F.col(f"p0{c}"), F.col(f"p1{c}"), F.col(f"p2{c}"), F.col(f"p3{c}"), F.col("t_")) for c in "xyz"}
+    return both.select(*particles.columns, *[v.alias(c) for c, v in at.items()])
+
+
 def field_from_anchors(anchors: DataFrame, resolution: float, guide: float = 0.7) -> DataFrame:
     """Field nodes along paths every ``resolution``: direction of the path blended with straight downhill."""
     samples = timeseries.tangents(resample(anchors, resolution))

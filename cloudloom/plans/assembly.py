@@ -351,3 +351,15 @@ def s4(spark, d):
     """The cells of the octree at the first depth that has enough of them for 200 points."""
     q = V.cloud_q(spark, d)
     return stats.voxel_representatives(q, stats.bounds(q).first().asDict(), 3).agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query(
+    "e88_particle_positions",
+    f"""WITH a AS (SELECT path_id, row_number() OVER w - 1 AS segment, x, coalesce(lag(x) OVER w, x) AS p0, coalesce(lead(x) OVER w, x) AS p2, coalesce(lead(x, 2) OVER w, lead(x) OVER w, x) AS p3, count(*) OVER (PARTITION BY path_id) AS n FROM {V.PATHS} WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+    k AS (SELECT path_id, i, greatest(least(floor(i / 8::double * (n - 1)), n - 2), 0)::bigint AS segment, i / 8::double * (n - 1) - greatest(least(floor(i / 8::double * (n - 1)), n - 2), 0) AS t FROM (SELECT DISTINCT path_id, n FROM a), range(9) r(i))
+    SELECT path_id, i::int AS particle, round(0.5 * (2 * x + (p2 - p0) * t + (2 * p0 - 5 * x + 4 * p2 - p3) * t * t + (3 * x - p0 - 3 * p2 + p3) * t * t * t), 5) AS x FROM k JOIN a USING (path_id, segment)""",
+)
+def e88(spark, d):
+    p = V.paths(spark, d)
+    each = p.select("path_id").distinct().withColumn("particle", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("phase", c("particle") / 8)
+    return _round(paths.particle_positions(each, p).select("path_id", "particle", "x"), 5)

@@ -96,3 +96,30 @@ def test_queries_and_sql_belong_together():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     core = [q for q in queries if not q.startswith("op") and q != "pipeline"]
     assert set(sql) <= set(queries) and sum(q in sql for q in core) > 0.85 * len(core)
+
+
+def test_pattern_properties():
+    """What each procedural pattern keeps: values in 0..1, the same for the same seed, other for another, moving in time, neither empty nor full, denser with density."""
+    from dataclasses import replace
+
+    from cloudloom.functions import patterns
+
+    rng = np.random.default_rng(3)
+    u, v = rng.uniform(-3, 3, 4000), rng.uniform(-3, 3, 4000)
+    seeded = [k for k in patterns.TYPES if k not in ("radial",)]
+    denser = ("rain_rings", "tide_bands", "wet_sheen", "current_threads", "droplet_glints", "drip_trails", "foam_sparkle")
+    for kind in patterns.TYPES:
+        p = patterns.DEFAULTS[kind]
+        at = lambda t=0.4, seed=5, p=p: patterns.evaluate(p, u, v, t, seed)
+        first = at()
+        assert np.isfinite(first).all() and first.min() >= 0 and first.max() <= 1, kind
+        assert (first == at()).all() and np.abs(first - at(t=1.7)).max() > 0.05, kind
+        assert 0.0005 < first.mean() < 0.9 and first.std() > 0.01, (kind, first.mean(), first.std())
+        if kind in seeded:
+            assert np.abs(first - at(seed=6)).max() > 0.05, kind
+        if kind in denser:
+            assert at(p=replace(p, density=0.9)).mean() >= at(p=replace(p, density=0.1)).mean(), kind
+    flat = replace(patterns.DEFAULTS["linear"], warp=0.0)
+    want = (0.5 + 0.5 * np.cos(2 * np.pi * (u / flat.wavelength - flat.phase - 0.4 * flat.speed))) ** 4
+    assert np.allclose(patterns.evaluate(flat, u, v, 0.4), want)
+    assert (patterns.evaluate(replace(flat, kind="no such"), u, v, 0.4) == patterns.evaluate(flat, u, v, 0.4)).all()
