@@ -3,6 +3,7 @@
 Two documents share a passage of ``window`` words exactly if two suffixes of them have the same first ``window`` words, that is, meet in an internal
 node of the suffix tree at that depth.  Only such deep nodes are asked for, so the tree is built from groups that hold whole subtrees:
 
+0. A document whose whole text a smaller document has loses all its passages, so only the first of equal texts goes on.
 1. A suffix belongs to the prefix of PREFIXES[0] words that begins at its anchor, the one of the least hash within its first ``window`` words.  Equal suffixes have
    equal anchors, so no subtree is torn, and neighbouring suffixes mostly share theirs and travel as one segment of text, not as a copy of ``window`` words each.
 2. Prefixes that stand in one document only have no deep node with two documents; their suffixes are never sent.
@@ -40,6 +41,8 @@ SENT = 1 << 20
 CHUNK_BYTES = 4 << 20
 #: Stands for a null doc_id, which counts last.
 LAST = (1 << 63) - 1
+#: Stands for the number of all windows of a text.
+ALL = -1
 
 
 def segments(words: _words.WordBatch, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,10 +113,20 @@ def _ranges(flag: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return begin, np.diff(np.concatenate((np.flatnonzero(new), [len(at)])))
 
 
-def _refs(window: int, gram: int):
+def _first_texts(batch: pa.RecordBatch, copies) -> list[bytes]:
+    """The texts of (doc, tkey, text, name), empty for the rows whose name is among the ``copies`` (a broadcast sorted array, or None)."""
+    texts = _words.to_bytes(batch.column(2))
+    if copies is None or not len(copies.value):
+        return texts
+    name = batch.column(3).to_numpy()
+    spot = np.minimum(np.searchsorted(copies.value, name), len(copies.value) - 1)
+    return [b"" if x else t for t, x in zip(texts, (copies.value[spot] == name).tolist())]
+
+
+def _refs(window: int, gram: int, copies):
     def refs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _words.to_bytes(batch.column(2))
+            texts = _first_texts(batch, copies)
             doc, tkey = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for g in _words.groups(texts):
                 words = _words.split(texts[g], _words.NOT_SPACE, lower=False)
@@ -147,8 +160,8 @@ def _digests(texts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh3_128_digest(t) for t in texts]), ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def _heavy(window: int, gram: int, known):
-    """The segments of (doc, tkey, text) with one of the prefixes ``known`` (a broadcast sorted array), or with one of those listed in a fourth column.
+def _heavy(window: int, gram: int, known, copies):
+    """The segments of (doc, tkey, text, name) with one of the prefixes ``known`` (a broadcast sorted array), or with one of those listed in a fifth column.
 
     Each occurrence is a row (s1, s2, doc, tkey, start), s the segment's 128 bits.  Each different segment of a task is a row with its content and
     the least and greatest document that have it.
@@ -167,9 +180,9 @@ def _heavy(window: int, gram: int, known):
             return row(len(ends), s1=s[:, 0], s2=s[:, 1], content=list(ends), least=least, most=most)
 
         for batch in batches:
-            texts = _words.to_bytes(batch.column(2))
+            texts = _first_texts(batch, copies)
             doc, tkey = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            listed = batch.column(3).to_pylist() if known is None else None
+            listed = batch.column(4).to_pylist() if known is None else None
             for g in _words.groups(texts):
                 words = _words.split(texts[g], _words.NOT_SPACE, lower=False)
                 h, begin, runs = segments(words, window, gram)
@@ -315,7 +328,9 @@ def _finish(window: int):
             for t, ranges in zip(texts, gone):
                 words = t.split()
                 n, own = len(words), []
-                if ranges:
+                if ranges and any(x["n"] == ALL for x in ranges):
+                    own, words = ([{"start": 0, "n": n}], []) if n >= window else ([], words)
+                elif ranges:
                     mark = np.zeros(n + 1, np.int64)
                     at = np.array([(x["start"], x["start"] + x["n"] + window - 1) for x in ranges])
                     np.add.at(mark, at[:, 0], 1)
@@ -347,8 +362,17 @@ def dedup_substrings(
     """
     spark, gram = docs.sparkSession, prefixes[0]
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tkey"), F.struct("*").alias("row"))
-    texts = rows.select("doc", "tkey", F.col("row.text").alias("text"))
-    refs = shared(texts.mapInArrow(tidied(_refs(window, gram)), "doc long, tkey long, h long, start int, run int"))
+    # Rows whose text a smaller document has: by 128 bits of the text.
+    keys = shared(rows.select("doc", "tkey", F.coalesce(F.xxhash64(F.lit(7), "row.text"), F.lit(0)).alias("tkey2")))
+    least = keys.groupBy("tkey", "tkey2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where(F.col("least") < F.col("most"))
+    copies = shared(hot_join(keys, least, ["tkey", "tkey2"]).where(F.col("doc") > F.col("least")).select("doc", "tkey").distinct())
+    name = F.xxhash64("doc", "tkey").alias("name")
+    texts, known_copies = rows.select("doc", "tkey", F.col("row.text").alias("text"), name), None
+    if copies.count() <= sent:
+        known_copies = spark.sparkContext.broadcast(np.sort(copies.select(name).toPandas()["name"].to_numpy(np.int64)))
+    else:
+        texts = texts.join(copies, ["doc", "tkey"], "left_anti")
+    refs = shared(texts.mapInArrow(tidied(_refs(window, gram, known_copies)), "doc long, tkey long, h long, start int, run int"))
     # A row for each prefix: partial sums before the shuffle.
     met = shared(refs.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") < F.col("last")).select("h", "n"))
     large = met.where(F.col("n") > most_group)
@@ -362,6 +386,7 @@ def dedup_substrings(
     pieces = pieces.repartition("h").sortWithinPartitions("h").select("h", "doc", "tkey", "start", "run", "content")
     gone = pieces.mapInArrow(tidied(_in_groups(_trees(window), chunk_bytes)), "doc long, tkey long, start int, n int")
     gone = gone.select("doc", "tkey", F.array(F.struct("start", "n")).alias("gone"))
+    gone = gone.unionByName(copies.select("doc", "tkey", F.array(F.struct(F.lit(0).alias("start"), F.lit(ALL).alias("n"))).alias("gone")))
     if n_large:
         known = None
         if n_large <= sent:
@@ -369,8 +394,8 @@ def dedup_substrings(
         else:
             own = refs.join(F.broadcast(large.where(F.col("n") * 4096 >= total).select("h")), "h").select("doc", "tkey", "h")
             own = own.unionByName(refs.join(hottest, "h", "left_anti").join(large.select("h"), "h").select("doc", "tkey", "h"))
-            texts = texts.join(own.groupBy("doc", "tkey").agg(F.collect_set("h").alias("names")), ["doc", "tkey"]).select("doc", "tkey", "text", "names")
-        cut = shared(texts.mapInArrow(tidied(_heavy(window, gram, known)), "s1 long, s2 long, doc long, tkey long, start int, content binary, least long, most long"))
+            texts = texts.join(own.groupBy("doc", "tkey").agg(F.collect_set("h").alias("names")), ["doc", "tkey"]).select("doc", "tkey", "text", "name", "names")
+        cut = shared(texts.mapInArrow(tidied(_heavy(window, gram, known, known_copies)), "s1 long, s2 long, doc long, tkey long, start int, content binary, least long, most long"))
         contents = cut.where(F.col("content").isNotNull()).groupBy("s1", "s2").agg(F.first("content").alias("content"), F.min("least").alias("least"), F.max("most").alias("most"))
         marks = _split(contents.select("s1", "s2", F.lit(0).alias("start"), "content", "least", "most"), prefixes[1:], window, most_group, chunk_bytes)
         marks = shared(marks.groupBy("s1", "s2").agg(F.collect_list(F.struct("place", "least")).alias("marks")))  # of a segment, as many as it has windows
