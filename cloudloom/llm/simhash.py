@@ -11,8 +11,8 @@ bucket goes to the radius + 1 tables keyed by mask and part, and so on until all
 fingerprints at most, so this ends.  A bucket gives a spanning forest of its links, never its pairs.
 
 ``near_duplicates`` links fingerprints.  ``near_texts`` links texts whose sets of shingles have a similarity (Jaccard) of 0.8 or more.  Such texts differ in some
-ten bits of a fingerprint, which would take 2 ** 15 tables to cover, so there the same masks also cover the lanes of a minwise sketch, of which such
-texts differ in few; what collides in a table is compared by its shingles.
+ten bits of a fingerprint, which would take 2 ** 15 tables to cover, so there tables over lanes of a minwise sketch are added, of which such
+texts share four in five; what collides in a table is compared by its shingles.
 """
 
 from __future__ import annotations
@@ -175,10 +175,11 @@ def near_duplicates(docs: DataFrame, *, keep: list[str] | None = None, radius: i
 
 #: Words of a shingle and similarity of near texts.
 WORDS, SIMILARITY = 5, 0.8
-#: Lanes of a sketch and the differing ones that its masks cover; sketches of a text.
-LANES, LANE_RADIUS, SKETCHES = 7, 2, 2
-#: Multipliers that make a lane's hash of a shingle's.
-_ODD = np.random.default_rng(7).integers(1, 1 << 63, LANES * SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Lanes of a sketch, lanes of a table's key and tables; agreeing lanes from which two texts are compared (of 0.8 similar ones, 32 agree on average).
+LANES, KEY_LANES, TABLES, LIKELY = 40, 6, 16, 26
+#: Multipliers that make a lane's hash of a shingle's; the lanes of each table.
+_ODD = np.random.default_rng(7).integers(1, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OF_TABLE = [np.random.default_rng(100 + t).choice(LANES, KEY_LANES, replace=False).tolist() for t in range(TABLES)]
 
 
 def _keyed(table: int, parts: list[np.ndarray]) -> np.ndarray:
@@ -201,16 +202,14 @@ def _bit_sums(h: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return out.reshape(-1, BITS)
 
 
-def table_keys(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """(texts, tables): the keys of some texts, whose shingle hashes begin at ``begin`` in h: of their SimHash under its masks, of their sketches under theirs."""
+def table_keys(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some texts, whose shingle hashes begin at ``begin`` in h: (texts, tables) their keys, of their SimHash under its masks and of their sketch; (texts, LANES) their sketches."""
     sizes = np.diff(np.concatenate((begin, [len(h)])))
     fp = np.packbits((2 * _bit_sums(h, begin, sizes) > sizes[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)[:, 0]
     lanes = [np.minimum.reduceat(_words.mix(h * odd), begin) for odd in _ODD]
     keys = [_keyed(v, [fp & np.uint64(m)]) for v, m in enumerate(masks())]
-    for s in range(SKETCHES):
-        own = lanes[LANES * s : LANES * (s + 1)]
-        keys += [_keyed(64 * (s + 1) + v, [x for i, x in enumerate(own) if m >> i & 1]) for v, m in enumerate(masks(LANE_RADIUS, LANES))]
-    return np.stack(keys, axis=1)
+    keys += [_keyed(64 + t, [lanes[i] for i in own]) for t, own in enumerate(_OF_TABLE)]
+    return np.stack(keys, axis=1), np.stack([(x & np.uint64(255)).astype(np.uint8) for x in lanes], axis=1).view(np.int8)
 
 
 #: A text without words has one shingle, which no other has.
@@ -220,7 +219,7 @@ _NOTHING = np.array([0], np.uint64)
 def _sketched(words: int):
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each, keys, digests, shingles = _words.to_bytes(texts(batch)), [], [], []
+            each, keys, sketches, digests, shingles = _words.to_bytes(texts(batch)), [], [], [], []
             for g in _words.groups(each):
                 own = _words.split(each[g], _words.NOT_SPACE, lower=True)
                 h = own.hashes()
@@ -231,7 +230,9 @@ def _sketched(words: int):
                     sets.append(grams[a : b - words + 1] if b - a >= words else short)
                 sizes = np.array([len(x) for x in sets])
                 flat = np.concatenate(sets)
-                keys.append(table_keys(flat, np.cumsum(sizes) - sizes).view(np.int64))
+                own_keys, own_sketches = table_keys(flat, np.cumsum(sizes) - sizes)
+                keys.append(own_keys.view(np.int64))
+                sketches.append(own_sketches)
                 digests += [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
                 distinct = np.sort(np.repeat(np.arange(len(sets), dtype=np.uint64), sizes) << np.uint64(32) | flat >> np.uint64(32))
                 distinct = distinct[np.concatenate(([True], distinct[1:] != distinct[:-1]))]
@@ -243,32 +244,69 @@ def _sketched(words: int):
             offsets = np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in shingles]))))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([x for x, _ in shingles])))
             table = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), table, pa.array(digests, pa.binary()), lists], ["row", "keys", "digest", "shingles"])
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * LANES, pa.int32()), pa.array(np.concatenate(sketches).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), table, sketch, pa.array(digests, pa.binary()), lists], ["row", "keys", "sketch", "digest", "shingles"])
 
     return sketched
 
 
-def _similar(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links among the nodes of ``open_`` (rid, key), whose shingles are in ``sets`` (rid, shingles)."""
-    found = None
-    while True:
-        n = F.count(F.lit(1))
-        buckets = shared(open_.groupBy("key").agg(F.min("rid").alias("lead"), n.alias("n")).where(F.col("n") > 1))
-        if found is not None and buckets.isEmpty():
-            return found
-        pairs = shared(hot_join(open_, buckets.drop("n"), ["key"]).where(F.col("rid") != F.col("lead")))
-        each = pairs.select("lead", "rid").distinct()
-        wanted = each.select("rid").unionByName(each.select(F.col("lead").alias("rid"))).distinct()
-        own = shared(sets.join(wanted, "rid", "left_semi"))
-        one = hot_join(each, own.withColumnRenamed("shingles", "x"), ["rid"], hot=64)
-        both = hot_join(one, own.select(F.col("rid").alias("lead"), F.col("shingles").alias("y")), ["lead"], hot=64)
-        common = F.size(F.array_intersect("x", "y"))
-        linked = shared(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("lead", "rid"))
-        links = linked.select(F.col("lead").alias("a"), F.col("rid").alias("b"))
-        found = links if found is None else found.unionByName(links)
-        open_ = shared(pairs.join(linked, ["lead", "rid"], "left_anti").select("rid", "key"))
-        if open_.isEmpty():
-            return found
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (key, rid, sketch) sorted by key: each text with up to three of its bucket's firsts that it is likely similar to; without one it is a first itself."""
+    last, ids, known = None, np.zeros(8, np.int64), np.zeros((8, LANES), np.int8)
+    n = 0
+    for batch in batches:
+        key, rid = (batch.column(i).to_numpy() for i in (0, 1))
+        sketch = batch.column(2).flatten().to_numpy().reshape(-1, LANES)
+        alone = np.ones(len(key), bool)  # in a bucket of its own, as far as this batch tells
+        alone[1:] &= key[1:] != key[:-1]
+        alone[:-1] &= key[1:] != key[:-1]
+        if len(key):
+            alone[0] &= key[0] != last
+            alone[-1] = False
+        lead, other = [], []
+        for i in np.flatnonzero(~alone).tolist():
+            if key[i] != last:
+                last, n = key[i], 0
+            agree = (known[:n] == sketch[i]).sum(1)
+            near = np.flatnonzero(agree >= LIKELY)
+            if len(near):
+                near = near[np.argsort(-agree[near], kind="stable")[:3]]
+                lead.append(ids[near])
+                other.append(np.full(len(near), rid[i]))
+                continue
+            if n == len(ids):
+                ids, known = np.concatenate((ids, ids)), np.concatenate((known, known))
+            ids[n], known[n] = rid[i], sketch[i]
+            n += 1
+        none = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *lead])), pa.array(np.concatenate([none, *other]))], ["lead", "rid"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (lead, rid) of texts that are as similar; only sets of texts in a pair are shuffled on."""
+    wanted = pairs.select("rid").unionByName(pairs.select(F.col("lead").alias("rid"))).distinct()
+    own = shared(sets.join(wanted, "rid", "left_semi"))
+    one = hot_join(pairs, own.withColumnRenamed("shingles", "x"), ["rid"], hot=64)
+    both = hot_join(one, own.select(F.col("rid").alias("lead"), F.col("shingles").alias("y")), ["lead"], hot=64)
+    common = F.size(F.array_intersect("x", "y"))
+    return shared(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("lead", "rid"))
+
+
+def _similar(open_: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links among the nodes of ``open_`` (rid, key), whose sketches and shingles are in ``nodes``."""
+    sketches, sets = nodes.select("rid", "sketch"), nodes.select("rid", "shingles")
+    buckets = shared(open_.groupBy("key").agg(F.min("rid").alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    met = shared(hot_join(open_, buckets.drop("n"), ["key"]).where(F.col("rid") != F.col("lead")))
+    # All against their bucket's first: a group of near copies is done with here, over all tasks.
+    pairs = met.select("lead", "rid").distinct()
+    both = hot_join(pairs.join(sketches, "rid"), sketches.select(F.col("rid").alias("lead"), F.col("sketch").alias("first")), ["lead"])
+    agree = F.size(F.filter(F.zip_with("sketch", "first", lambda a, b: a == b), lambda x: x))
+    linked = _verified(shared(both.where(agree >= LIKELY).select("lead", "rid")), sets, similarity)
+    # The rest of each bucket among itself, by sketches, in one pass.
+    rest = met.join(linked, ["lead", "rid"], "left_anti").select("key", "rid").join(sketches, "rid")
+    more = rest.select("key", "rid", "sketch").repartition("key").sortWithinPartitions("key", "rid").mapInArrow(tidied(_firsts), "lead long, rid long")
+    more = _verified(shared(more.distinct()), sets, similarity)
+    return linked.unionByName(more).select(F.col("lead").alias("a"), F.col("rid").alias("b"))
 
 
 def near_texts(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -276,9 +314,9 @@ def near_texts(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMIL
 
     Two texts are linked if they collide in a table and their sets of ``words``-word shingles (A-Z lower-cased; of a shorter text, the whole) have a Jaccard
     similarity of ``similarity`` or more, by 32 bits of each shingle's hash.  component_id is the smallest doc_id of the rows reachable; one row of each component
-    is its leader, with that doc_id.  Texts with equal sets are one node.  In each bucket all nodes are compared with its first; those that are not
-    similar to it are a bucket of their own in the next round, until none is left: a bucket costs its size for each group of similar
-    texts in it, not its pairs.  Between rounds only (node, key) pairs remain; the texts are read for the sketches and for the result, where they are shuffled once.
+    is its leader, with that doc_id.  Texts with equal sequences of shingles are one node.  In each bucket all nodes are compared with its first; those that are not
+    similar to it are compared, by their sketches and in one pass over the sorted bucket, with the firsts among themselves, and likely pairs by their shingles.  So a
+    bucket costs its size for each group of similar texts in it, not its pairs.  The texts are read for the sketches and for the result, where they are shuffled once.
 
     Texts without words, null too, are linked with each other.  Null ids count last.  Rows that repeat are linked, and one of them leads.  An empty table gives an
     empty table.
@@ -286,12 +324,12 @@ def near_texts(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMIL
     text = F.col("text")
     name = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"))
     source = docs.select(name.alias("row"), text.alias("t"))
-    schema = T.StructType([source.schema["row"], *T._parse_datatype_string("keys array<long>, digest binary, shingles array<int>").fields])
-    nodes = shared(source.mapInArrow(tidied(_sketched(words)), schema).select("row.*", "keys", "digest", "shingles").withColumn("rid", F.monotonically_increasing_id()))
+    schema = T.StructType([source.schema["row"], *T._parse_datatype_string("keys array<long>, sketch array<byte>, digest binary, shingles array<int>").fields])
+    nodes = shared(source.mapInArrow(tidied(_sketched(words)), schema).select("row.*", "keys", "sketch", "digest", "shingles").withColumn("rid", F.monotonically_increasing_id()))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2", "rid")
     distinct = shared(nodes.groupBy("digest").agg(F.min(place).alias("first")).withColumn("rid", F.col("first.rid")))
     open_ = nodes.select("rid", "keys").join(distinct.select("rid"), "rid", "left_semi").select("rid", F.explode("keys").alias("key"))
-    ids = _classes(distinct.select("rid", "first"), _similar(open_, nodes.select("rid", "shingles"), similarity), "rid")
+    ids = _classes(distinct.select("rid", "first"), _similar(open_, nodes, similarity), "rid")
     # A row for each name; copies of a text with other ids meet their node by the digest, of which there is one row in ``distinct``.
     node_of = hot_join(nodes.select("doc_id", "t1", "t2", "digest"), distinct.select("digest", F.col("rid").alias("node")), ["digest"])
     least = hot_join(node_of, ids.withColumnRenamed("key_", "node"), ["node"])
