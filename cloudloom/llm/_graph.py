@@ -76,14 +76,16 @@ def hot_join(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner",
     """
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > 64)
     total = rows.count()
-    keys = counts.where(F.col("n_") * hot >= total).drop("n_").collect()
-    if not keys:
+    found = counts.where(F.col("n_") * hot >= total).collect()
+    if not found:
         return rows.join(few, on, how)
     spark, kinds = rows.sparkSession, few.select(*on).schema
-    names = F.broadcast(spark.createDataFrame(keys, rows.select(*on).schema).dropna().withColumn("hot_", F.lit(True)))
+    keys = [tuple(r)[:-1] for r in found if None not in tuple(r)]
+    often = F.broadcast(few.join(F.broadcast(spark.createDataFrame(keys, kinds)), on, "left_semi"))
+    if len(keys) == len(found) and sum(r["n_"] for r in found) == total:  # hot keys alone, as with few languages
+        return rows.join(often, on, how)
+    names = F.broadcast(spark.createDataFrame(keys, rows.select(*on).schema).withColumn("hot_", F.lit(True)))
     marked = rows.join(names, on, "left")
-    own = spark.createDataFrame([tuple(k) for k in keys if None not in k], kinds)
-    often = F.broadcast(few.join(F.broadcast(own), on, "left_semi"))
     return marked.where("hot_").drop("hot_").join(often, on, how).unionByName(marked.where(F.col("hot_").isNull()).drop("hot_").join(few, on, how))
 
 
