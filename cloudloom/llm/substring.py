@@ -35,7 +35,7 @@ from cloudloom.llm._rows import tidied
 WINDOW, PREFIXES = 50, (16, 32)
 #: Segments of a group that is sorted in memory; larger groups are split by longer prefixes.
 MOST_GROUP = 2048
-#: Prefixes of larger groups that are sent to every task; if there are more, they are joined.
+#: Prefixes of larger groups, exact copies and marks of segments that are sent to every task; if there are more, they are joined.
 SENT = 1 << 20
 #: Text of the groups that are sorted together.
 CHUNK_BYTES = 4 << 20
@@ -317,6 +317,47 @@ def _split(contents: DataFrame, prefixes: tuple[int, ...], window: int, most_gro
     return marks.unionByName(last.select("s1", "s2", F.col("start").alias("place"), F.col("first").alias("least")))
 
 
+def _sorted_marks(marks: DataFrame) -> tuple[np.ndarray, ...]:
+    """The marks of all segments as arrays: their 128 bits in order, where each one's marks begin, and the marks by place."""
+    rows = marks.select("s1", "s2", F.explode("marks").alias("m")).select("s1", "s2", "m.place", "m.least").toArrow()
+    s1, s2, place, least = (rows[c].to_numpy() for c in ("s1", "s2", "place", "least"))
+    order = np.lexsort((place, s2, s1))
+    s1, s2, place, least = s1[order], s2[order], place[order], least[order]
+    first = np.flatnonzero(np.concatenate(([True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])))[: len(s1)])
+    return s1[first], s2[first], np.append(first, len(s1)), place, least
+
+
+def _looked_up(marks):
+    """Of occurrences (s1, s2, doc, tkey, start), a document's together: (doc, tkey, gone) by the broadcast arrays of ``_sorted_marks``."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s1, s2, begin, place, least = marks.value
+        for batch in batches:
+            a, b, doc, tkey, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            # the first segment of the same first half; others of that half, if there are any, come next
+            spot = np.searchsorted(s1, a)
+            while True:
+                near = np.minimum(spot, len(s1) - 1)
+                wrong = (spot < len(s1)) & (s1[near] == a) & (s2[near] != b)
+                if not wrong.any():
+                    break
+                spot[wrong] += 1
+            at = np.flatnonzero((spot < len(s1)) & (s1[near] == a))
+            n = begin[spot[at] + 1] - begin[spot[at]]
+            row = np.repeat(at, n)
+            mark = np.repeat(begin[spot[at]] - (np.cumsum(n) - n), n) + np.arange(len(row))
+            keep = least[mark] < doc[row]
+            row, window = row[keep], (start[row] + place[mark])[keep]
+            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)))[: len(row)])
+            runs, own = np.diff(np.append(new, len(row))).astype(np.int32), row[new]
+            edge = np.flatnonzero(np.concatenate(([True], (doc[own][1:] != doc[own][:-1]) | (tkey[own][1:] != tkey[own][:-1])))[: len(own)])
+            spans = pa.StructArray.from_arrays([pa.array(window[new].astype(np.int32)), pa.array(runs)], ["start", "n"])
+            gone = pa.ListArray.from_arrays(pa.array(np.append(edge, len(own)).astype(np.int32)), spans)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[own][edge]), pa.array(tkey[own][edge]), gone], ["doc", "tkey", "gone"])
+
+    return look
+
+
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
 
 
@@ -399,9 +440,14 @@ def dedup_substrings(
         contents = cut.where(F.col("content").isNotNull()).groupBy("s1", "s2").agg(F.first("content").alias("content"), F.min("least").alias("least"), F.max("most").alias("most"))
         marks = _split(contents.select("s1", "s2", F.lit(0).alias("start"), "content", "least", "most"), prefixes[1:], window, most_group, chunk_bytes)
         marks = shared(marks.groupBy("s1", "s2").agg(F.collect_list(F.struct("place", "least")).alias("marks")))  # of a segment, as many as it has windows
-        found = hot_join(cut.where(F.col("content").isNull()).select("s1", "s2", "doc", "tkey", "start"), marks, ["s1", "s2"])
-        taken = F.transform(F.filter("marks", lambda m: m["least"] < F.col("doc")), lambda m: F.struct((F.col("start") + m["place"]).alias("start"), F.lit(1).alias("n")))
-        gone = gone.unionByName(found.select("doc", "tkey", taken.alias("gone")).where(F.size("gone") > 0))
+        found = cut.where(F.col("content").isNull()).select("s1", "s2", "doc", "tkey", "start")
+        n_marks = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
+        if 0 < n_marks <= sent:  # they go to the occurrences, which stay where they are
+            told = spark.sparkContext.broadcast(_sorted_marks(marks))
+            gone = gone.unionByName(found.mapInArrow(tidied(_looked_up(told)), "doc long, tkey long, gone array<struct<start: int, n: int>>"))
+        elif n_marks:
+            taken = F.transform(F.filter("marks", lambda m: m["least"] < F.col("doc")), lambda m: F.struct((F.col("start") + m["place"]).alias("start"), F.lit(1).alias("n")))
+            gone = gone.unionByName(hot_join(found, marks, ["s1", "s2"]).select("doc", "tkey", taken.alias("gone")).where(F.size("gone") > 0))
     removal = gone.groupBy("doc", "tkey").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     final = T.StructType([rows.schema["row"], *T._parse_datatype_string("kept_text string, n_words long, n_removed long, removed array<struct<start: int, n: int>>").fields])
     return rows.join(removal, ["doc", "tkey"], "left").select("row", "gone").mapInArrow(tidied(_finish(window)), final)
