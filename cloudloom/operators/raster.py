@@ -124,15 +124,19 @@ def surfel_hits(surfels: DataFrame, rays: DataFrame) -> DataFrame:
     return both.withColumns({"depth": t, "reach": F.sqrt(a * a + b * b)}).where((F.col("depth") > 0) & (F.col("reach") <= 1)).select("point_index", "ix", "iy", "depth", "reach")
 
 
-def surfel_basis(normal: S.Vec, preferred: Sequence[float] = (1.0, 0.0, 0.0)) -> tuple[S.Vec, S.Vec]:
-    """Two unit vectors across a normal; the first leans to the preferred tangent unless that is the normal itself."""
-    n = S.normalise(normal, fallback=(0.0, 0.0, 1.0))
-    along = S.dot(n, preferred)
-    parallel = F.abs(along) > 0.99
-    other = [F.when(parallel, o).otherwise(p) for o, p in zip((0.0, 1.0, 0.0), preferred)]
-    k = S.dot(n, other)
-    u = S.normalise(tuple(o - m * k for o, m in zip(other, n)), 1e-12, (1.0, 0.0, 0.0))
-    return u, S.cross(n, u)
+def surfel_basis(df: DataFrame, normal: S.Vec, preferred: Sequence[float] = (1.0, 0.0, 0.0)) -> DataFrame:
+    """Df with two unit vectors u_* and v_* across a normal; the first leans to the preferred tangent unless that is the normal itself.
+
+    Each step is staged: written out in one expression, a component of v has hundreds of thousands of terms.
+    """
+    df = S.staged(df, _n=S.normalise(normal, fallback=(0.0, 0.0, 1.0)))
+    n = S.at("_n")
+    parallel = F.abs(S.dot(n, preferred)) > 0.99
+    df = S.staged(df, _o=tuple(F.when(parallel, o).otherwise(p) for o, p in zip((0.0, 1.0, 0.0), map(float, preferred))))
+    df = df.withColumn("_k", S.dot(n, S.at("_o")))
+    df = S.staged(df, _t=tuple(o - m * F.col("_k") for o, m in zip(S.at("_o"), n)))
+    df = S.staged(df, u=S.normalise(S.at("_t"), 1e-12, (1.0, 0.0, 0.0)))
+    return S.unstaged(S.staged(df, v=S.cross(n, S.at("u"))), "_n", "_o", "_t").drop("_k")
 
 
 # Filters over pixels: a pixel is sent to the neighbours it matters to, and each pixel aggregates what it gets.

@@ -221,8 +221,7 @@ def e24(spark, d):
 def e27(spark, d):
     """The basis is square to the normal and to itself; u leans to x unless that is the normal."""
     s = S.staged(V.splats(spark, d), n=S.normalise(S.vec("x", "y", "z")))
-    u, v = raster.surfel_basis(S.vec("x", "y", "z"))
-    s = S.staged(s, u=u, v=v)
+    s = raster.surfel_basis(s, S.vec("x", "y", "z"))
     return _round(s.select("point_index", S.dot(S.at("u"), S.at("n")).alias("along_n"), S.dot(S.at("u"), S.at("v")).alias("across"), S.length(S.at("v")).alias("length"), c("u_x").alias("ux")))
 
 
