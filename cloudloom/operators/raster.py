@@ -146,7 +146,8 @@ def _spread(pixels: DataFrame, offsets: Sequence[tuple], columns: Sequence[str])
     """Copies of ``columns`` (as n_*) at each offset (dx, dy, weight) from their pixel."""
     o = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(float(w)).alias("w")) for dx, dy, w in offsets])
     sent = pixels.select("ix", "iy", *[F.col(c).alias(f"n_{c}") for c in columns], F.explode(o).alias("o"))
-    return sent.select((F.col("ix") - F.col("o.dx")).alias("ix"), (F.col("iy") - F.col("o.dy")).alias("iy"), F.col("o.w").alias("ring"), F.sqrt((F.col("o.dx") * F.col("o.dx") + F.col("o.dy") * F.col("o.dy")).cast("double")).alias("distance"), *[f"n_{c}" for c in columns])
+    # Its size is estimated without the copies: small enough to send whole to all tasks, the driver would hold them.
+    return sent.hint("merge").select((F.col("ix") - F.col("o.dx")).alias("ix"), (F.col("iy") - F.col("o.dy")).alias("iy"), F.col("o.w").alias("ring"), F.sqrt((F.col("o.dx") * F.col("o.dx") + F.col("o.dy") * F.col("o.dy")).cast("double")).alias("distance"), *[f"n_{c}" for c in columns])
 
 
 def ring_offsets(thickness: float) -> list[tuple[int, int, float]]:
