@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -30,7 +29,9 @@ SAMPLE = 20_000
 #: Languages whose profiles are sent to the tasks at a time.
 BLOCK = 4096
 #: Letters counted at a time, and n-grams that a counting task holds for a language before it adds them up.
-SLICE, HELD = 1 << 20, 1 << 20
+SLICE, HELD = 1 << 20, 1 << 17
+#: Texts of a batch that are Python strings at a time.
+ROWS = 1024
 #: The prediction for texts without letters.
 UNDETERMINED = "und"
 
@@ -83,20 +84,29 @@ def _top(grams: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     return grams[np.lexsort((grams, -counts))][:k]
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (text, lang): (lang, gram, n), in parts, so that no more than HELD n-grams are held for a language whatever it has."""
     sums: dict[str, list] = {}
     held: dict[str, int] = {}
+
+    def made(lang: str, grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(grams), np.int32))), pa.array(grams), pa.array(counts)], ["lang", "gram", "n"])
+
     for batch in batches:
-        for text, lang in zip(batch["text"], batch["lang"]):
-            parts = sums.setdefault(lang, [])
-            parts.append(ngrams(text))
-            held[lang] = held.get(lang, 0) + len(parts[-1][0])
-            if held[lang] > HELD:
-                sums[lang] = [_merged(parts)]
-                held[lang] = len(sums[lang][0][0]) // 2
+        for begin in range(0, batch.num_rows, ROWS):
+            part = batch.slice(begin, ROWS)
+            for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                parts = sums.setdefault(lang, [])
+                parts.append(ngrams(text))
+                held[lang] = held.get(lang, 0) + len(parts[-1][0])
+                if held[lang] > HELD:
+                    sums[lang] = [_merged(parts)]
+                    held[lang] = len(sums[lang][0][0])
+                    if held[lang] > HELD // 2:
+                        yield made(lang, *sums.pop(lang)[0])
+                        held[lang] = 0
     for lang, parts in sums.items():
-        grams, counts = _merged(parts)
-        yield pd.DataFrame({"lang": lang, "gram": grams, "n": counts})
+        yield made(lang, *_merged(parts))
 
 
 def profile_table(docs: DataFrame, *, sample: int = SAMPLE, size: int = PROFILE) -> DataFrame:
@@ -109,7 +119,7 @@ def profile_table(docs: DataFrame, *, sample: int = SAMPLE, size: int = PROFILE)
     totals = docs.groupBy("lang").agg((sample / F.count(F.lit(1))).alias("share"))
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = hot_join(docs.withColumn("draw", draw).drop("doc_id"), totals, ["lang"]).where(F.col("draw") < F.col("share")).select("text", "lang")
-    counts = chosen.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(tidied(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     key = F.struct((-F.col("n")).alias("n"), "gram")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(key))
     return counts.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "gram", "rank")
@@ -176,7 +186,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]] | DataFrame, *, kee
         def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             classify = model.value
             for batch in batches:
-                found = [classify(t) for t in texts(batch).to_pylist()]
+                each = texts(batch)
+                found = [classify(t) for begin in range(0, len(each), ROWS) for t in each.slice(begin, ROWS).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["row", "lang_pred", "score"])
 
         return rows.mapInArrow(tidied(predict), T.StructType([rows.schema["row"], *schema.fields[1:]]))

@@ -246,6 +246,25 @@ def test_lines_of_a_page_take_linear_time(spark):
     assert time.time() - began < 60
 
 
+def test_counting_holds_few_ngrams(monkeypatch):
+    """The pipeline's memory: a language's n-grams leave in parts, however many it has, and sum up to the same."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(langid, "HELD", 500)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(300)) for _ in range(60)]
+    parts = list(langid._count(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["a", "b"] * 30)], ["text", "lang"])])))
+    assert max(p.num_rows for p in parts) <= 500 + max(len(langid.ngrams(t)[0]) for t in texts)
+    got, want = {}, {}
+    for p in parts:
+        for lang, gram, n in zip(*(c.to_pylist() for c in p.columns)):
+            got[lang, gram] = got.get((lang, gram), 0) + n
+    for i, t in enumerate(texts):
+        for gram, n in zip(*(x.tolist() for x in langid.ngrams(t))):
+            want["ab"[i % 2], gram] = want.get(("ab"[i % 2], gram), 0) + n
+    assert got == want
+
+
 # near duplicates
 
 
